@@ -174,7 +174,7 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     found = [_find(df, block, id_col, text_col, window) for block in _blocks(items, item_col, item_text_col, max_patterns)]
     if len(found) == 1:
         return found[0]
-    # every block sees all rows in the same order of the same scan; rows are told apart by id, text length and number among equals
+    # with several blocks, rows of one id and one number of words become one
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
@@ -198,6 +198,25 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     return kept.select(id_col, "n_words", "items", "spans").mapInArrow(merge, f"`{id_col}` {kind}, {SCHEMA}")
 
 
+def clean(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_patterns: int = MAX_PATTERNS) -> DataFrame:
+    """The rows of df, all their columns, in which no window of any item occurs. Each block of items filters what the one before left."""
+    for block in _blocks(items, item_col, item_text_col, max_patterns):
+        shared = df.sparkSession.sparkContext.broadcast(block)
+        built: list[list[Group]] = []
+
+        def good(t: T.Texts, shared=shared, built=built) -> np.ndarray:
+            if not built:
+                built.append(patterns(shared.value, window))
+            w = T.Words(t, _WORD, lower=True)
+            out = np.ones(len(t), bool)
+            for _, place, _ in search(built[0], w):
+                out[w.doc[place]] = False
+            return out
+
+        df = T.filter_rows(df, text_col, good)
+    return df
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The columns of the contract: item lists become their number and a SHA-256."""
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")

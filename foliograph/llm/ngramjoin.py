@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from . import graph
 from . import textops as T
+from .blobs import SCHEMA, batch_of, by_part, from48, low48, pack, unpack
 
 WORDS = 5
 PERCENT = 75
@@ -83,7 +84,7 @@ class Band:
         self.m = self.units(hi * 100 // percent)
         self.deleted = -(-self.m // DELETION_SHARE)
         self.edges = np.array([-(-(j << 32) // self.m) << 32 for j in range(1, self.m)], np.uint64)
-        self.salt = np.arange(self.m, dtype=np.uint64) * _K2 + np.uint64(number + 1) * _K3
+        self.salt = np.arange(self.m, dtype=np.uint64) * _K2 + np.uint64((number + 1) * int(_K3) % 2**64)
 
     def units(self, r: int) -> int:
         """What a set of size r must spend on this band."""
@@ -213,33 +214,10 @@ def local(keys: np.ndarray, ids: np.ndarray, roles: np.ndarray):
     return out, (ids[away], hub[away]), (keys[inside], ids[inside], roles[inside])
 
 
-def _pack(kind: int, *arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([kind, *(x.nbytes for x in arrays)], np.int64).tobytes(), *(np.ascontiguousarray(x).tobytes() for x in arrays)])
-
-
-def _unpack(raw: bytes, kinds: dict[int, list]) -> tuple[int, list[np.ndarray]]:
-    kind = int(np.frombuffer(raw, np.int64, 1)[0])
-    types = kinds[kind]
-    sizes = np.frombuffer(raw, np.int64, len(types), 8)
-    at, out = 8 * (len(types) + 1), []
-    for n, k in zip(sizes.tolist(), types, strict=True):
-        out.append(np.frombuffer(raw, k, n // np.dtype(k).itemsize, at))
-        at += n
-    return kind, out
-
-
 ENTRY = 3
 _KINDS = {ENTRY: [np.uint8, np.int64, np.uint32, np.uint8], PAIR: [np.int64, np.int64], MEMBER: [np.uint64, np.int64, np.uint8], FACT: [np.int64, np.uint8, np.int64, np.uint64, np.uint64]}
 
 
-def _by_part(part: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places by part, in their order."""
-    order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(n + 1))
-    for p in np.flatnonzero(np.diff(cut)).tolist():
-        yield p, order[cut[p] : cut[p + 1]]
-
-
 def _index(n_parts: int, words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -276,22 +254,21 @@ def _index(n_parts: int, words: int, percent: int):
                 order = np.argsort(entry[1], kind="stable")  # by document again, so that ids are stored once each
                 k, d, r = (x[order] for x in entry)
                 part = (k >> np.uint64(40)).astype(np.int64) % n_parts
-                for p, at in _by_part(part, n_parts):
+                for p, at in by_part(part, n_parts):
                     new = np.flatnonzero(np.append(True, d[at][1:] != d[at][:-1]))
-                    low = (k[at] & _LOW).view(np.uint8).reshape(-1, 8)[:, :6]
                     out_part.append(p)
-                    out_blob.append(_pack(ENTRY, low, d[at][new], np.diff(np.append(new, len(at))).astype(np.uint32), r[at]))
+                    out_blob.append(pack(ENTRY, low48(k[at]), d[at][new], np.diff(np.append(new, len(at))).astype(np.uint32), r[at]))
                 if len(pairs[0]):
                     both = np.unique(np.stack([np.minimum(*pairs), np.maximum(*pairs)]), axis=1)
                     out_part.append(turn % n_parts)
-                    out_blob.append(_pack(PAIR, both[0], both[1]))
+                    out_blob.append(pack(PAIR, both[0], both[1]))
                 if len(members[0]):
                     out_part.append((turn + 1) % n_parts)
-                    out_blob.append(_pack(MEMBER, *members))
+                    out_blob.append(pack(MEMBER, *members))
                 out_part.append((turn + 2) % n_parts)
-                out_blob.append(_pack(FACT, ids, valid.astype(np.uint8), size, one, two))
+                out_blob.append(pack(FACT, ids, valid.astype(np.uint8), size, one, two))
                 turn += 3
-                yield pa.RecordBatch.from_arrays([pa.array(out_part, pa.int32()), pa.array(out_blob, pa.binary())], names=["part", "blob"])
+                yield batch_of(list(zip(out_part, out_blob, strict=True)))
 
     return run
 
@@ -316,12 +293,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, ids, roles, pairs = [], [], [], []
     for batch in batches:
         for raw in batch.column(1):
-            kind, x = _unpack(raw.as_py(), _KINDS)
+            kind, x = unpack(raw.as_py(), _KINDS)
             if kind == ENTRY:
                 low, doc, count, role = x
-                wide = np.zeros((len(role), 8), np.uint8)
-                wide[:, :6] = low.reshape(-1, 6)
-                keys.append(wide.view(np.uint64).ravel())
+                keys.append(from48(low))
                 ids.append(np.repeat(doc, count))
                 roles.append(role)
             elif kind == PAIR:
@@ -401,7 +376,7 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     docs = df.select(df[id_col].cast("bigint").alias("__id"), df[text_col].alias("__text"))
     n_parts = T.parts(spark)
-    index = docs.mapInArrow(_index(n_parts, words, percent), "part int, blob binary").repartitionById(n_parts, F.col("part"))
+    index = docs.mapInArrow(_index(n_parts, words, percent), SCHEMA).repartitionById(n_parts, F.col("part"))
     found = T.stored(index.mapInArrow(_candidates, _ROWS), "candidates")
     T.release(spark)
     facts = found.where(f"kind = {FACT}").select("a", "b", "x", "y")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, linequality, ngramjoin, repetition, sentencepieces, suffixdedup, toxicity, warc
+from . import decontaminate, licenses, linequality, lmscore, ngramjoin, repetition, sentencepieces, suffixdedup, toxicity, warc
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -42,6 +42,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lmscore.score(table(spark, sf_dir, "documents"), good)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
     "op4_license_scan": op4_license_scan,
+    "op5_lm_score": op5_lm_score,
     "op6_toxicity": op6_toxicity,
     "op7_line_quality": op7_line_quality,
     "op8_decontamination": op8_decontamination,

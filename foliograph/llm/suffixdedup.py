@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
+from .blobs import SCHEMA, batch_of, by_row, deal, pack, unpack
 
 SIZE = 400
 GRAM = 16
@@ -88,34 +89,6 @@ def anchors(t: T.Texts, pre: np.ndarray, size: int) -> tuple[np.ndarray, np.ndar
     return np.searchsorted(t.offs, p, "right") - 1, p, far, near
 
 
-def _pack(kind: int, *arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([kind, *(x.nbytes for x in arrays)], np.int64).tobytes(), *(np.ascontiguousarray(x).tobytes() for x in arrays)])
-
-
-def _unpack(raw: bytes, kinds: dict[int, list]) -> tuple[int, list[np.ndarray]]:
-    kind = int(np.frombuffer(raw, np.int64, 1)[0])
-    sizes = np.frombuffer(raw, np.int64, len(kinds[kind]), 8)
-    at, out = 8 * (len(sizes) + 1), []
-    for n, k in zip(sizes.tolist(), kinds[kind], strict=True):
-        out.append(np.frombuffer(raw, k, n // np.dtype(k).itemsize, at))
-        at += n
-    return kind, out
-
-
-def _deal(kind: int, part: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Blobs of the arrays' rows by part."""
-    order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(n + 1))
-    for p in np.flatnonzero(np.diff(cut)).tolist():
-        at = order[cut[p] : cut[p + 1]]
-        yield p, _pack(kind, *(x[at] for x in arrays))
-
-
-def _batch(made: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary())], names=["part", "blob"])
-
-
-_BLOBS = "part int, blob binary"
 RUN, WINDOW, STARTS, PREFIX, WHOLE, PLACES = range(6)
 _KINDS = {
     RUN: [np.uint16, np.uint16, np.uint8, np.uint16, np.uint8, np.uint16, np.uint64, np.uint32, np.uint64],
@@ -163,9 +136,9 @@ def _fingerprints(n_parts: int, size: int):
                 stands = np.zeros(j - i, bool)
                 stands[lead_row] = True
                 copies = long[~stands[long]]
-                made += _deal(WHOLE, (whole[lead_row] % np.uint64(n_parts)).astype(np.int64), n_parts, whole[lead_row], row[lead_row], times.astype(np.uint32))
+                made += deal(WHOLE, (whole[lead_row] % np.uint64(n_parts)).astype(np.int64), n_parts, whole[lead_row], row[lead_row], times.astype(np.uint32))
                 if len(copies):
-                    made += _deal(PLACES, _by_row(n_parts, row[copies]), n_parts, row[copies], np.full(len(copies), COPY, np.int32), np.zeros(len(copies), np.uint8))
+                    made += deal(PLACES, by_row(n_parts, row[copies]), n_parts, row[copies], np.full(len(copies), COPY, np.int32), np.zeros(len(copies), np.uint8))
                 keys, owner, place = np.concatenate(keys), np.concatenate(owner), np.concatenate(place)
                 mine = stands[owner]
                 keys, owner, place = keys[mine], owner[mine], place[mine]
@@ -177,21 +150,17 @@ def _fingerprints(n_parts: int, size: int):
                     head = order[first[times > HOT]]
                     sent[order[hot]] = False
                     rest = order[hot]
-                    made += _deal(PLACES, _by_row(n_parts, row[owner[rest]]), n_parts, row[owner[rest]], place[rest].astype(np.int32), np.ones(len(rest), np.uint8))
+                    made += deal(PLACES, by_row(n_parts, row[owner[rest]]), n_parts, row[owner[rest]], place[rest].astype(np.int32), np.ones(len(rest), np.uint8))
                     sent[head] = True
                     weight[head] = times[times > HOT]
                 at = np.flatnonzero(sent)
-                made += _deal(PREFIX, (keys[at] % np.uint64(n_parts)).astype(np.int64), n_parts, keys[at], row[owner[at]], place[at].astype(np.uint32), weight[at])
+                made += deal(PREFIX, (keys[at] % np.uint64(n_parts)).astype(np.int64), n_parts, keys[at], row[owner[at]], place[at].astype(np.uint32), weight[at])
                 if made:
-                    yield _batch(made)
+                    yield batch_of(made)
 
     return run
 
 
-def _by_row(n_parts: int, row: np.ndarray) -> np.ndarray:
-    return (T.mix(row) % np.uint64(n_parts)).astype(np.int64)
-
-
 def _remaining(n_parts: int):
     """One partition of fingerprints: the places that occur twice or more, dealt by row."""
 
@@ -199,7 +168,7 @@ def _remaining(n_parts: int):
         got: dict[int, list[list[np.ndarray]]] = {PREFIX: [], WHOLE: [], PLACES: []}
         for batch in batches:
             for raw in batch.column(1):
-                kind, x = _unpack(raw.as_py(), _KINDS)
+                kind, x = unpack(raw.as_py(), _KINDS)
                 got[kind].append(x)
         rows, places, flags = ([x[k] for x in got[PLACES]] for k in range(3))
         if got[PREFIX]:
@@ -227,14 +196,14 @@ def _remaining(n_parts: int):
         if rows:
             row, place, flag = np.concatenate(rows), np.concatenate(places), np.concatenate(flags)
             if len(row):
-                yield _batch(list(_deal(PLACES, _by_row(n_parts, row), n_parts, row, place, flag)))
+                yield batch_of(list(deal(PLACES, by_row(n_parts, row), n_parts, row, place, flag)))
 
     return run
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (row, places, hot) of one partition."""
-    found = [_unpack(raw.as_py(), _KINDS)[1] for batch in batches for raw in batch.column(1)]
+    found = [unpack(raw.as_py(), _KINDS)[1] for batch in batches for raw in batch.column(1)]
     if not found:
         return
     row, place, flag = (np.concatenate([x[k] for x in found]) for k in range(3))
@@ -309,14 +278,14 @@ class Suffixes:
         close()
         if done_row:
             row = np.array(done_row, np.uint64)
-            made += _deal(STARTS, _by_row(self.n_parts, row), self.n_parts, row, np.array(done_lo, np.uint32), np.array(done_hi, np.uint32))
+            made += deal(STARTS, by_row(self.n_parts, row), self.n_parts, row, np.array(done_lo, np.uint32), np.array(done_hi, np.uint32))
         self.rows, self.bytes = [], 0
         return made
 
 
 def _front_coded(run: list) -> bytes:
     rows = [x[5] for x in run]
-    return _pack(
+    return pack(
         RUN,
         np.array([x[0] for x in run], np.uint16),
         np.array([x[1] for x in run], np.uint16),
@@ -367,15 +336,15 @@ def _send(n_parts: int, size: int):
                     row, place = rows[i + doc[warm]][which], (q - t.offs[doc[warm]][which]).astype(np.uint32)
                     order, first, times = _runs_of(window)
                     twice = order[np.repeat(times > 1, times)]
-                    made += _deal(STARTS, _by_row(n_parts, row[twice]), n_parts, row[twice], place[twice], place[twice])
+                    made += deal(STARTS, by_row(n_parts, row[twice]), n_parts, row[twice], place[twice], place[twice])
                     one = order[first]
-                    made += _deal(WINDOW, (window[one] % np.uint64(n_parts)).astype(np.int64), n_parts, window[one], row[one], place[one], (times > 1).astype(np.uint8))
+                    made += deal(WINDOW, (window[one] % np.uint64(n_parts)).astype(np.int64), n_parts, window[one], row[one], place[one], (times > 1).astype(np.uint8))
                 if held.bytes > RUN_BYTES:
                     made += held.flush()
                 if made:
-                    yield _batch(made)
+                    yield batch_of(made)
         if held.rows and (made := held.flush()):
-            yield _batch(made)
+            yield batch_of(made)
 
     return run
 
@@ -500,7 +469,7 @@ def _merge(n_parts: int, size: int):
         got: dict[int, list[list[np.ndarray]]] = {RUN: [], WINDOW: [], STARTS: []}
         for batch in batches:
             for raw in batch.column(1):
-                kind, x = _unpack(raw.as_py(), _KINDS)
+                kind, x = unpack(raw.as_py(), _KINDS)
                 got[kind].append(x)
         found = [(x[0], x[1].astype(np.int64), x[2].astype(np.int64)) for x in got[STARTS]]
         if got[RUN]:
@@ -513,7 +482,7 @@ def _merge(n_parts: int, size: int):
         if found:
             row, lo, hi = (np.concatenate([x[k] for x in found]) for k in range(3))
             if len(row):
-                yield _batch(list(_deal(STARTS, _by_row(n_parts, row), n_parts, row, lo.astype(np.uint32), hi.astype(np.uint32))))
+                yield batch_of(list(deal(STARTS, by_row(n_parts, row), n_parts, row, lo.astype(np.uint32), hi.astype(np.uint32))))
 
     return run
 
@@ -522,7 +491,7 @@ def _spans(size: int):
     """Rows (row, spans) of one partition: maximal covered ranges, as pairs of 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [_unpack(raw.as_py(), _KINDS)[1] for batch in batches for raw in batch.column(1)]
+        found = [unpack(raw.as_py(), _KINDS)[1] for batch in batches for raw in batch.column(1)]
         if not found:
             return
         row, lo, hi = (np.concatenate([x[k] for x in found]) for k in range(3))
@@ -554,11 +523,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_parts = T.parts(spark)
     text, row = _named(df, id_col, text_col)
     docs = df.where(F.octet_length(text) >= size).select(row.alias("row"), text.alias("text"))
-    marks = docs.mapInArrow(_fingerprints(n_parts, size), _BLOBS).repartitionById(n_parts, F.col("part")).mapInArrow(_remaining(n_parts), _BLOBS)
+    marks = docs.mapInArrow(_fingerprints(n_parts, size), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(_remaining(n_parts), SCHEMA)
     places = T.stored(marks.repartitionById(n_parts, F.col("part")).mapInArrow(_places, "row bigint, places binary, hot binary"), "places")
     T.release(spark)
     some = docs.join(places, "row").select("row", "text", "places", "hot")
-    runs = some.mapInArrow(_send(n_parts, size), _BLOBS).repartitionById(n_parts, F.col("part")).mapInArrow(_merge(n_parts, size), _BLOBS)
+    runs = some.mapInArrow(_send(n_parts, size), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(_merge(n_parts, size), SCHEMA)
     spans = T.stored(runs.repartitionById(n_parts, F.col("part")).mapInArrow(_spans(size), "row bigint, spans binary"), "spans")
     T.release(spark)
     little = lambda n: F.lit(np.array([n], np.int32).tobytes())

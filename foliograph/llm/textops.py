@@ -185,6 +185,18 @@ def per_row(df: DataFrame, columns: list[str], schema: str, make: Callable[[Text
     return kept.mapInArrow(run, f"{head}, {schema}" if names else schema)
 
 
+def filter_rows(df: DataFrame, text_col: str, good: Callable[[Texts], np.ndarray]) -> DataFrame:
+    """The rows of df, with all their columns, whose texts are good."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, t in slices(texts(batch.column(at))):
+                yield batch.slice(i, j - i).filter(pa.array(good(t)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir where it is set, else one for tests beside the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)

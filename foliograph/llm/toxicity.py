@@ -7,8 +7,8 @@ evidence: the weights that remain are a short list of pairs, bounded by
 2**`bits`, and are broadcast.
 
 Defined results: null and empty texts have no features and get the score of the
-bias; without labelled rows all weights are zero and every score is the prior
-0.0; labels other than 0 and 1 and null ids are not learnt from; very long texts
+bias; without labelled rows all weights are zero and every score is the prior,
+under the threshold; labels other than 0 and 1 and null ids are not learnt from; very long texts
 are scored whole; repeated rows get equal scores; only the text is scored.
 """
 
@@ -26,6 +26,8 @@ from . import textops as T
 BITS = 20
 THRESHOLD = 0.3
 STEMS = (4, 6)
+#: Log odds of label 1 before any evidence.
+PRIOR = -1.5
 
 
 @dataclass(frozen=True)
@@ -86,33 +88,47 @@ def train(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = 4, alpha:
         for e in order.permutation(len(examples)):
             at, y = examples[e]
             w = weights(at)
-            p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
+            p = 1 / (1 + np.exp(-np.clip(w.sum() + PRIOR, -35, 35)))
             g = p - y
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - sigma * w
             n[at] += g * g
     w = weights(slice(None))
     kept = np.flatnonzero(w[:size])
-    return Weights(kept, w[kept].astype(np.float32), float(w[size]) if examples else -50.0, bits)
+    return Weights(kept, w[kept].astype(np.float32), float(w[size]) + PRIOR, bits)
 
 
-def score(df: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds score: the probability of label 1. keep: columns of df that stay (the id by default)."""
+def score_texts(t: T.Texts, bits: int, dense: np.ndarray, bias: float) -> np.ndarray:
+    """Probability of label 1 of each text."""
+    at, doc = features(t, bits)
+    some = np.flatnonzero(dense[at])
+    key = np.unique(doc[some] * (1 << bits) + at[some])
+    total = np.bincount(key >> bits, dense[key & ((1 << bits) - 1)], len(t)) + bias
+    return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+
+def _scorer(df: DataFrame, model: Weights):
     shared = df.sparkSession.sparkContext.broadcast(model)
     dense: list[np.ndarray] = []
 
-    def make(t: T.Texts) -> dict:
-        m = shared.value
+    def run(t: T.Texts) -> np.ndarray:
         if not dense:
-            dense.append(m.dense())
-        at, doc = features(t, m.bits)
-        w = dense[0][at]
-        some = np.flatnonzero(w)
-        key = np.unique(doc[some] * (1 << m.bits) + at[some])
-        total = np.bincount(key >> m.bits, dense[0][key & ((1 << m.bits) - 1)], len(t)) + m.bias
-        return {"score": 1 / (1 + np.exp(-np.clip(total, -35, 35)))}
-
-    return T.per_row(df, [text_col], "score double", make, keep or [id_col])
+            dense.append(shared.value.dense())
+        return score_texts(t, shared.value.bits, dense[0], shared.value.bias)
+
+    return run
+
+
+def score(df: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id_col and score, the probability of label 1."""
+    run = _scorer(df, model)
+    return T.per_row(df, [text_col], "score double", lambda t: {"score": run(t)}, [id_col])
+
+
+def clean(df: DataFrame, model: Weights, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df, with all their columns, that score under the threshold."""
+    run = _scorer(df, model)
+    return T.filter_rows(df, text_col, lambda t: run(t) < threshold)
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Weights:
