@@ -7,13 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..operators import matching as M
+from ..operators import pages as K
+from ..operators import pixels as P
 from ..operators import signals as S
+from ..sources import drawn as D
 from ..sources import fixtures as X
+from . import normalize as N
 
 W, H = X.WIDTH, X.HEIGHT
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -431,3 +437,75 @@ def document_summary(spark, sf):
 def bbox_union_all(spark, sf):
     f = X.template_fields(spark, sf).select(F.lit("template").alias("kind"), F.col("pos").cast("bigint").alias("id"), *as_cols(B.to_pixels(COR(), W, H)))
     return f.unionByName(X.detections(spark, sf).select(F.lit("detected").alias("kind"), F.col("event_id").alias("id"), "x0", "y0", "x1", "y1"))
+
+
+# -- page kernels on drawn forms: no SQL says the same
+
+
+def drawn(spark: SparkSession, sf: str) -> DataFrame:
+    return D.drawn_pages(X.table(spark, sf, "region").select("r_regionkey").repartition(5), "r_regionkey")
+
+
+@query()
+def normalize_synthetic(spark, sf):
+    return N.summary(N.normalize(drawn(spark, sf), [D.template()])).select("document_id", "warp_method", "orientation_degrees", "n_checkbox", "n_handwriting", F.round("alignment_confidence", 2).alias("confidence"))
+
+
+@query()
+def field_crops_synthetic(spark, sf):
+    return N.field_crops(N.normalize(drawn(spark, sf), [D.template()])).select("document_id", "field_id", "field_type", "x0", "y0", "x1", "y1", F.round("quality", 4).alias("quality"))
+
+
+def _measured(pages: DataFrame, schema: str, measure: Callable) -> DataFrame:
+    """Rows that measure(image) gives, for each page."""
+
+    def run(frames):
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
+                rows = [(r.document_id, *x) for x in measure(a)]
+                yield pd.DataFrame(rows, columns=["document_id", *[c.split()[0] for c in schema.split(", ")]])
+
+    return pages.mapInPandas(run, f"document_id string, {schema}")
+
+
+@query()
+def detect_quad_synthetic(spark, sf):
+    def measure(a):
+        quad, method, confidence = K.detect_quad(a)
+        return [(k, float(x), float(y), method, round(confidence, 4)) for k, (x, y) in enumerate(quad)]
+
+    return _measured(drawn(spark, sf), "corner int, x double, y double, method string, confidence double", measure)
+
+
+@query()
+def detect_checkboxes_synthetic(spark, sf):
+    def measure(a):
+        return [tuple(b) for b in K.detect_check_boxes(K.rectify(a, D.W, D.H)[0])]
+
+    return _measured(drawn(spark, sf), "x0 int, y0 int, x1 int, y1 int", measure)
+
+
+@query()
+def warp_synthetic(spark, sf):
+    def measure(a):
+        canvas, how = K.rectify(a, D.W, D.H)
+        return [(canvas.shape[1], canvas.shape[0], how["method"], how["orientation_degrees"], round(float(canvas.mean()), 1))]
+
+    return _measured(drawn(spark, sf), "width int, height int, method string, degrees int, mean double", measure)
+
+
+@query()
+def clahe_tile(spark, sf):
+    pages = X.table(spark, sf, "embeddings").select("vec_id", "embedding")
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for v, e in zip(frame.vec_id, frame.embedding, strict=True):
+                tile = np.clip(np.rint(128 + 200 * np.asarray(e, np.float64)), 0, 255).astype(np.uint8).reshape(8, 8)
+                flat = np.repeat(np.repeat(tile, 8, 0), 8, 1)
+                out.append((v, int(P.clahe(flat).sum())))
+            yield pd.DataFrame(out, columns=["vec_id", "total"])
+
+    return pages.mapInPandas(run, "vec_id bigint, total bigint")

@@ -30,3 +30,21 @@ def test_against_sql(spark, other, name):
     want = plain(cur.fetchall())
     assert len(got) == len(want) > 0
     assert got == want
+
+
+@pytest.mark.parametrize(("name", "rows"), [("normalize_synthetic", 5), ("field_crops_synthetic", 665), ("detect_quad_synthetic", 20), ("detect_checkboxes_synthetic", 400), ("warp_synthetic", 5), ("clahe_tile", 1)])
+def test_kernels(spark, name, rows):
+    assert queries.QUERIES[name](spark, SF).count() >= rows
+
+
+def test_stream(spark, tmp_path):
+    from foliograph.sources import drawn, forms
+    from foliograph.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.png").write_bytes(forms.png(drawn.photograph(drawn.form(drawn.template()))))
+    (tmp_path / "in" / "bad.png").write_bytes(b"x")
+    q = ingest.normalize_stream(spark, str(tmp_path / "in"), [drawn.template()], str(tmp_path / "out"), str(tmp_path / "state"), once=True)
+    q.awaitTermination(120)
+    assert [r.document_id for r in spark.read.parquet(str(tmp_path / "out" / "documents")).select("document_id").collect()] == ["one"]
+    assert spark.read.parquet(str(tmp_path / "out" / "rejected")).count() == 1
