@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, licenses, linequality, lmscore, ngramjoin, repetition, sentencepieces, suffixdedup, toxicity, warc
+from .oracles import ORACLES
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -80,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
