@@ -1,7 +1,7 @@
 """SQL for the corpus queries that SQL can express, for DuckDB.
 
-The others are checked otherwise: an exact library (op9), brute force (op1, op4,
-op5, op10), held-out accuracy (op6, op7).
+The others are checked otherwise: an exact library (op9), brute force (op4, op5,
+op10), held-out accuracy (op6, op7).
 """
 
 from __future__ import annotations
@@ -11,6 +11,16 @@ _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPACED = r"[^\x20\x09-\x0D]+"
 _DIGIT = "(instr('0123456789abcdef', substr(h, {j}, 1)) - 1)"
 
+OP1 = f"""
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_SPACED}') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' ')) END) AS g FROM dw WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM dw UNION SELECT ends.b, reach.root FROM reach JOIN ends ON ends.a = reach.node)
+SELECT dw.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM dw LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) c ON c.node = dw.doc_id"""
+
 OP2 = f"""
 SELECT page_id, octet_length(encode(body)) AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((({_DIGIT.format(j="(5 * i) // 4 + 1")} * 16 + {_DIGIT.format(j="(5 * i) // 4 + 2")}) >> (3 - (5 * i) % 4)) & 31)::BIGINT + 1, 1)), '') AS payload_digest,
@@ -59,4 +69,4 @@ b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transfor
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {base} AS base_failed, NOT {base} AND NOT ({" OR ".join(bad)}) AS kept FROM b {joins}"""
 
 
-ORACLES = {"op2_warc": OP2, "op3_quality_rules": op3(), "op8_decontamination": OP8}
+ORACLES = {"op1_ngram_join": OP1, "op2_warc": OP2, "op3_quality_rules": op3(), "op8_decontamination": OP8}
