@@ -540,8 +540,8 @@ def _applied(df: DataFrame, columns: list[str], schema: str, make, id_col: str,
     spans, whole = repeated_spans(df, id_col, text_col, size)
     text, row = _named(df, id_col, text_col)
     kept = df.select(*[df[c] for c in columns], text.alias("__text"), row.alias("__row"))
-    every = spans.withColumnRenamed("row", "__r").join(whole.withColumn("__whole", F.lit(True)).withColumnRenamed("row", "__w"), F.col("__r") == F.col("__w"), "full").select(F.coalesce("__r", "__w").alias("__key"), "spans", "__whole")
-    joined = kept.join(every, F.col("__row") == F.col("__key"), "left").select(*columns, "__text", "spans", "__whole")
+    every = spans.withColumnRenamed("row", "__r").join(whole.withColumn("__whole", F.lit(True)).withColumnRenamed("row", "__w"), F.col("__r") == F.col("__w"), "full").select(F.coalesce("__r", "__w").alias("__key"), F.col("spans").alias("__spans"), "__whole")
+    joined = kept.join(every, F.col("__row") == F.col("__key"), "left").select(*columns, "__text", "__spans", "__whole")
     n = len(columns)
     head = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in columns)
 

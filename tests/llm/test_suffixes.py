@@ -78,7 +78,7 @@ def test_documents(spark):
 
 def test_deduplicated_keeps_columns(spark):
     rows = corpus(11)
-    df = spark.createDataFrame([(t, i, "en") for i, t in rows], "text string, doc_id bigint, lang string")
+    df = spark.createDataFrame([(t, i, "en", 1, 2) for i, t in rows], "text string, doc_id bigint, lang string, spans int, row int")
     out = suffixdedup.deduplicated(df, size=40)
     assert out.columns == df.columns
     assert out.count() == df.count()
