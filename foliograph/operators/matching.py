@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 
+# Fixed values on which results depend.
 SEARCH = 64.0
 SNAP = 30.0
 SNAP_X = 28.0
