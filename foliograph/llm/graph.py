@@ -19,11 +19,14 @@ def components(edges: DataFrame) -> DataFrame:
     both = T.stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
     labels = T.stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("low"))
-        low = labels.join(near, labels.node == near.a).select("node", F.least("component", "low").alias("to"), F.col("component").alias("was"))
-        other = labels.select(F.col("node").alias("via"), F.col("component").alias("beyond"))
+        was = labels.select("node", "component")
+        near = both.join(was, both.b == was.node).groupBy("a").agg(F.min("component").alias("low"))
+        low = was.join(near, was.node == near.a).select("node", F.least("component", "low").alias("to"), F.col("component").alias("was"))
+        other = was.select(F.col("node").alias("via"), F.col("component").alias("beyond"))
         jumped = low.join(other, F.col("to") == F.col("via"), "left").select("node", F.least(F.col("to"), F.coalesce("beyond", "to")).alias("component"), F.col("was"))
-        labels = T.stored(jumped, "labels")
-        if labels.where("component != was").isEmpty():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
+        new = T.stored(jumped, "labels")
+        T.discard(labels)
+        if new.where("component != was").isEmpty():
+            T.discard(both)
+            return new.drop("was")
+        labels = new
