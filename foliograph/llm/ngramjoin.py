@@ -4,7 +4,7 @@ Two sets of sizes r >= s with a Jaccard similarity of p percent or more differ i
 at most H = (100 - p)(r + s) / (100 + p) elements. The universe of hashed shingles
 is cut into m segments, so both sets fall into m parts whose differences add up
 to H at most. Sizes form bands; m belongs to the band of the smaller set. The
-smaller set is indexed under all its parts, and, in the first m / 8 segments,
+smaller set is indexed under all its parts, and, in the first m / 16 segments,
 under all parts with one element deleted. The larger set probes its own band and
 those below that may hold partners. It spends H + 1 units on segments: the first
 unit on a segment finds equal parts, a second one also finds parts that differ by
@@ -18,7 +18,8 @@ Texts with equal sets are first reduced to one. Parts that are shared by more
 than two documents give candidate pairs with one of them (a star) instead of all
 pairs; the members are kept. What the verified links leave in different
 components is then compared pair by pair, where a part is shared across
-components. Hence no link between components is lost, and groups of copies cost
+components; by then it is known how many documents share each part, and every set
+chooses its segments anew by these numbers. Hence no link between components is lost, and groups of copies cost
 one comparison for each copy. Every candidate is verified on the whole sets.
 
 Shingles, words and sets are 64-bit hashes of the words' bytes; equality is that
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
@@ -50,9 +51,17 @@ PERCENT = 75
 #: Bytes of text whose parts are compared with each other before the shuffle.
 LOCAL_BYTES = 8 << 20
 #: One in so many segments is also indexed with deletions.
-DELETION_SHARE = 8
+DELETION_SHARE = 16
+#: Segments beyond those that the largest partner needs, one in so many: room to leave common parts out.
+SPARE_SHARE = 6
+#: Bits that bound from below in how many elements two sets differ.
+BITMAP = 512
 
-INDEXED, PROBES, GATHERED = 1, 2, 4
+#: Ids of documents to compare are broadcast up to this number.
+MAX_BROADCAST_IDS = 1_000_000
+
+INDEXED, PROBES, GATHERED, FIXED, MAYBE = 1, 2, 4, 8, 16
+OFFSET = 32  # from this bit on: how many bands below its own the key belongs to
 PAIR, MEMBER, FACT = 0, 1, 2
 
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -81,7 +90,8 @@ class Band:
 
     def __init__(self, number: int, lo: int, hi: int, percent: int):
         self.number, self.lo, self.hi, self.percent = number, lo, hi, percent
-        self.m = self.units(hi * 100 // percent)
+        need = self.units(hi * 100 // percent)
+        self.m = need + need // SPARE_SHARE
         self.deleted = -(-self.m // DELETION_SHARE)
         self.edges = np.array([-(-(j << 32) // self.m) << 32 for j in range(1, self.m)], np.uint64)
         self.salt = np.arange(self.m, dtype=np.uint64) * _K2 + np.uint64((number + 1) * int(_K3) % 2**64)
@@ -127,8 +137,20 @@ def _deletions(band: Band, s_mix: np.ndarray, bounds: np.ndarray, size: np.ndarr
     return seg, size[seg] - 1, content[seg] - s_mix[at]
 
 
-def entries(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, set numbers and roles that index and probe all these sets."""
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set a row of 64-bit words whose bits tell which of BITMAP classes of elements are odd in number.
+
+    Two sets differ in at least as many elements as their rows differ in bits.
+    """
+    out = np.zeros((len(sets), BITMAP // 64), np.int64)
+    for k, s in enumerate(sets):
+        odd = np.bincount((T.mix(s ^ _K3) % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
+        out[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return out
+
+
+def entries(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, set numbers and roles that index and probe all these sets; (set, offset, how many of its probes may be left out)."""
     own = []
     for s in sets:
         b = bands.all[bands.number(len(s))]
@@ -140,7 +162,7 @@ def entries(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarra
     every = np.sort(np.concatenate([x[-1] for x in own])) if own else np.empty(0, np.uint64)
     first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
     table, times = every[first], np.diff(np.append(first, len(every)))
-    keys, docs, roles = [], [], []
+    keys, docs, roles, spare = [], [], [], []
 
     def add(d: int, k: np.ndarray, role: int | np.ndarray) -> None:
         keys.append(k)
@@ -161,22 +183,28 @@ def entries(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarra
             often = np.where(table[slot] == exact, times[slot], 0) - mine
             cost = often.astype(float) + (size == 0) * 1e9 - np.minimum(size, 64) * 1e-3
             second = cost[: b.deleted] + 0.5 + (size[: b.deleted] < 2) * 1e9
-            units = np.argsort(np.concatenate([cost, second]), kind="stable")[: b.units(len(s))]
+            need = b.units(len(s))
+            units = np.argsort(np.concatenate([cost, second]), kind="stable")[:need]
             one = units[units < b.m]
             two = units[units >= b.m] - b.m
-            role = np.full(b.m, INDEXED if mine else 0, np.uint8)
-            role[one] |= PROBES
+            offset = (top - number) * OFFSET
+            role = np.where(size > 0, MAYBE, 0)
+            role[one] = PROBES
+            role[two] = PROBES | FIXED
+            spare.append((d, top - number, int((role > 0).sum()) + len(two) - need))
+            role = (role + INDEXED * mine).astype(np.uint8)
             used = np.flatnonzero(role)
-            add(d, exact[used], role[used])
+            add(d, exact[used], role[used] + np.uint8(offset))
             if mine:
                 seg, n, c = _deletions(b, mixed, bounds, size, content, np.arange(b.deleted))
                 add(d, b.key(c, n, seg, True), INDEXED)
             if len(two):
-                add(d, b.key(content[two], size[two], two, True), PROBES)
+                add(d, b.key(content[two], size[two], two, True), PROBES + FIXED + offset)
                 seg, n, c = _deletions(b, own[d][1], bounds, size, content, two)
-                add(d, b.key(c, n, seg, False), PROBES)
+                add(d, b.key(c, n, seg, False), PROBES + FIXED + offset)
     none = np.empty(0, np.uint64)
-    return (np.concatenate(keys), np.concatenate(docs), np.concatenate(roles)) if keys else (none, none.astype(np.int64), none.astype(np.uint8))
+    spare = np.array(spare, np.int64).reshape(-1, 3)
+    return (np.concatenate(keys), np.concatenate(docs), np.concatenate(roles), spare) if keys else (none, none.astype(np.int64), none.astype(np.uint8), spare)
 
 
 def grouped(keys: np.ndarray, ids: np.ndarray, roles: np.ndarray):
@@ -214,8 +242,8 @@ def local(keys: np.ndarray, ids: np.ndarray, roles: np.ndarray):
     return out, (ids[away], hub[away]), (keys[inside], ids[inside], roles[inside])
 
 
-ENTRY = 3
-_KINDS = {ENTRY: [np.uint8, np.int64, np.uint32, np.uint8], PAIR: [np.int64, np.int64], MEMBER: [np.uint64, np.int64, np.uint8], FACT: [np.int64, np.uint8, np.int64, np.uint64, np.uint64]}
+ENTRY, SPARE, BITS = 3, 4, 5
+_KINDS = {ENTRY: [np.uint8, np.int64, np.uint32, np.uint8], PAIR: [np.int64, np.int64], MEMBER: [np.uint64, np.int64, np.uint8], FACT: [np.int64, np.uint8, np.int64, np.uint64, np.uint64], SPARE: [np.int64, np.int64, np.int64], BITS: [np.int64, np.int64]}
 
 
 def _index(n_parts: int, words: int, percent: int):
@@ -248,7 +276,7 @@ def _index(n_parts: int, words: int, percent: int):
                         if f in seen:
                             extra.setdefault(f, k)
                     kept = np.sort(np.concatenate([kept, np.array(sorted(extra.values()), np.int64)]))
-                keys, docs, roles = entries([sets[k] for k in kept.tolist()], bands)
+                keys, docs, roles, spare = entries([sets[k] for k in kept.tolist()], bands)
                 entry, pairs, members = local(keys, ids[kept][docs] if len(kept) else docs, roles)
                 out_part, out_blob = [], []
                 order = np.argsort(entry[1], kind="stable")  # by document again, so that ids are stored once each
@@ -267,24 +295,29 @@ def _index(n_parts: int, words: int, percent: int):
                     out_blob.append(pack(MEMBER, *members))
                 out_part.append((turn + 2) % n_parts)
                 out_blob.append(pack(FACT, ids, valid.astype(np.uint8), size, one, two))
-                turn += 3
+                out_part.append((turn + 3) % n_parts)
+                out_blob.append(pack(SPARE, ids[kept][spare[:, 0]] if len(kept) else spare[:, 0], spare[:, 1], spare[:, 2]))
+                out_part.append((turn + 4) % n_parts)
+                out_blob.append(pack(BITS, ids[kept], parities([sets[k] for k in kept.tolist()])))
+                turn += 5
                 yield batch_of(list(zip(out_part, out_blob, strict=True)))
 
     return run
 
 
-_ROWS = "kind int, a bigint, b bigint, x bigint, y bigint"
+_ROWS = "kind int, a bigint, b bigint, x bigint, y bigint, bits array<bigint>"
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None, valid: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None, valid: np.ndarray | None = None, bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     zero = np.zeros(len(a), np.int64)
     for i in range(0, len(a), 1 << 18):
         cut = slice(i, i + (1 << 18))
         n = len(a[cut])
+        words = pa.nulls(n, pa.list_(pa.int64())) if bits is None else pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits[cut].ravel()))
         mask = None if valid is None else ~valid[cut].astype(bool)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, kind, np.int32)), pa.array(a[cut].astype(np.int64), mask=mask), pa.array(b[cut].astype(np.int64)), pa.array((zero if x is None else x.view(np.int64))[cut]), pa.array((zero if y is None else y.view(np.int64))[cut])],
-            names=["kind", "a", "b", "x", "y"],
+            [pa.array(np.full(n, kind, np.int32)), pa.array(a[cut].astype(np.int64), mask=mask), pa.array(b[cut].astype(np.int64)), pa.array((zero if x is None else x.view(np.int64))[cut]), pa.array((zero if y is None else y.view(np.int64))[cut]), words],
+            names=["kind", "a", "b", "x", "y", "bits"],
         )
 
 
@@ -303,6 +336,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pairs.append(np.stack(x))
             elif kind == MEMBER:
                 yield from _rows(MEMBER, x[1], x[2].astype(np.int64), x[0] & _LOW)
+            elif kind == BITS:
+                yield from _rows(BITS, x[0], np.zeros(len(x[0]), np.int64), bits=x[1].reshape(-1, BITMAP // 64))
+            elif kind == SPARE:
+                yield from _rows(SPARE, x[0], x[1], x[2])
             else:
                 yield from _rows(FACT, x[0], x[2], x[3], x[4], x[1])
     if keys:
@@ -320,8 +357,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.repeat(d[centre], count)
         away = np.repeat(good, count) & (hub != d)
         pairs.append(np.stack([np.minimum(d[away], hub[away]), np.maximum(d[away], hub[away])]))
-        more = np.repeat(good & ((count > 2) | (union & GATHERED > 0)), count)
-        yield from _rows(MEMBER, d[more], (r[more] & 3).astype(np.int64), k[more])
+        done = good & (count == 2) & (union & GATHERED == 0)  # its only pair is a candidate already
+        wanted = (count > 1) & (union & INDEXED > 0) & (union & (PROBES | MAYBE) > 0) & ~done
+        more = np.repeat(wanted, count) & (r & GATHERED == 0)  # a gathered one is listed with the others of its task
+        yield from _rows(MEMBER, d[more], r[more].astype(np.int64), k[more])
     if pairs:
         both = np.unique(np.concatenate(pairs, axis=1), axis=1)
         yield from _rows(PAIR, both[0], both[1])
@@ -333,14 +372,17 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     def make(t: T.Texts) -> dict:
         return {"set": pa.array([s.tobytes() for s in shingle_sets(t, words)], pa.binary())}
 
-    chosen = docs.join(ids, docs["__id"] == ids["node"]).select("__id", "__text")
+    wanted = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids  # else the texts are shuffled
+    chosen = docs.join(wanted, F.col("__id") == F.col("node")).select("__id", "__text")
     return T.stored(T.per_row(chosen, ["__text"], "set binary", make, ["__id"]), "sets")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are as similar as asked."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = _sets(docs, ids, words)
     left = sets.select(F.col("__id").alias("a"), F.col("set").alias("left"))
     right = sets.select(F.col("__id").alias("b"), F.col("set").alias("right"))
 
@@ -360,14 +402,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
-def _across(members: DataFrame, labels: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one key whose documents are in different components and of sizes that allow a link."""
+def _across(members: DataFrame, spare: DataFrame, bits: DataFrame, labels: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one key whose documents are in different components and of sizes that allow a link.
+
+    Now that it is known how many documents share each key, every document leaves
+    out its most common ones, as many as the pigeonhole principle lets it. Keys of
+    one component, or of one document, cost nothing and are never left out. A pair
+    whose bitmaps show that it differs in too many elements is no candidate.
+    """
     size = facts.where("a is not null").groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most"))
     named = members.groupBy(F.col("x").alias("key"), F.col("a").alias("doc")).agg(F.bit_or("b").alias("role")).join(labels, F.col("doc") == labels.node, "left").select("key", "doc", "role", F.coalesce("component", "doc").alias("component"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_or("role").alias("roles")).where("low != high and roles = 3").select("key")
-    rows = T.stored(named.join(open_keys, "key").join(size, F.col("doc") == size.a).select("key", "doc", "role", "component", "least", "most"), "open")
-    p, q = rows.where(F.col("role").bitwiseAND(PROBES) > 0).alias("p"), rows.where(F.col("role").bitwiseAND(INDEXED) > 0).alias("q")
+    asks = F.col("roles").bitwiseAND(INDEXED) > 0
+    open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_or("role").alias("roles"), F.count(F.lit(1)).alias("times")).where((F.col("low") != F.col("high")) & asks & (F.col("roles").bitwiseAND(PROBES | MAYBE) > 0)).select("key", "times")
+    rows = T.stored(named.join(open_keys, "key"), "open")
+    role = F.col("role")
+    probes = rows.where(role.bitwiseAND(PROBES | MAYBE) > 0).withColumn("offset", F.shiftright(role, 5))
+    rank = F.row_number().over(Window.partitionBy("doc", "offset").orderBy(role.bitwiseAND(FIXED) > 0, F.col("times").desc(), "key"))
+    kept = probes.withColumn("rank", rank).join(spare, ["doc", "offset"], "left").where((F.col("rank") > F.coalesce("spare", F.lit(0))) | (role.bitwiseAND(FIXED) > 0)).select("key", "doc", "component")
+    facts_of = size.join(bits, size.a == bits.rep, "left").select("a", "least", "most", "bits")
+    sized = lambda df: df.join(facts_of, F.col("doc") == facts_of.a).select("key", "doc", "component", "least", "most", "bits")
+    p, q = sized(kept).alias("p"), sized(rows.where(role.bitwiseAND(INDEXED) > 0)).alias("q")
     fits = (F.col("p.component") != F.col("q.component")) & (F.col("q.most") * 100 >= F.col("p.least") * percent) & (F.col("q.least") <= F.col("p.most"))
+    differ = sum((F.bit_count(F.col("p.bits")[k].bitwiseXOR(F.col("q.bits")[k])) for k in range(BITMAP // 64)), F.lit(0))
+    fits = fits & F.coalesce(differ * (100 + percent) <= (F.col("p.most") + F.col("q.most")) * (100 - percent), F.lit(True))
     return p.join(q, (F.col("p.key") == F.col("q.key")) & fits).select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct()
 
 
@@ -390,20 +447,40 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def contracted(links: DataFrame) -> DataFrame:
         a, b = reps.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("doc").alias("b"), F.col("rep").alias("rb"))
-        return links.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a != b").distinct()
+        return links.join(a, "a").join(b, "b").groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.sum("times").alias("times")).where("a != b")
 
-    pairs = found.where(f"kind = {PAIR}").select("a", "b").distinct()
-    pairs = T.stored(contracted(pairs), "pairs")
-    links = T.stored(_verified(pairs, docs, words, percent).unionByName(alike), "links")
+    # keys of one part give a pair once; how many parts do tells how alike the two are likely to be
+    seen = found.where(f"kind = {PAIR}").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+    pairs = T.stored(contracted(seen), "pairs")
+    sets = _sets(docs, _ids(pairs), words)
     T.release(spark)
+    # each document is first compared with its likeliest partner only
+    first_choice = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
+    links = T.stored(_verified(first_choice, sets, percent).unionByName(alike), "links")
     labels = graph.components(links)
+    p, q = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    apart = pairs.join(first_choice, ["a", "b"], "left_anti").join(p, "a", "left").join(q, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    second = T.stored(_verified(apart, sets, percent), "links")
+    T.discard(sets)
+    T.release(spark)
+    links = links.unionByName(second)
+    if not second.isEmpty():
+        labels = graph.components(links)
+    # what is left: documents of different components that share a key
     members = found.where(f"kind = {MEMBER}")
+    # of documents with several texts nothing is left out: their keys belong to different sets
+    several = every.join(first.where("rep != last").select("doc"), "doc").select("rep").distinct().withColumn("several", F.lit(True))
+    spare = found.where(f"kind = {SPARE}").join(reps, F.col("a") == reps.doc).groupBy("rep", "b").agg(F.min("x").alias("least")).join(several, "rep", "left").select(F.col("rep").alias("doc"), F.col("b").cast("int").alias("offset"), F.when(F.col("several").isNull(), F.col("least")).otherwise(0).alias("spare"))
+    bits = found.where(f"kind = {BITS}").select("a", "bits").join(reps, F.col("a") == reps.doc).groupBy("rep").agg(F.first("bits").alias("bits")).join(several.select("rep"), "rep", "left_anti")
     named = members.join(reps, members.a == reps.doc).select(F.col("rep").alias("a"), "b", "x")
-    left = T.stored(_across(named, labels, facts, percent).join(pairs, ["a", "b"], "left_anti"), "across")
+    left = T.stored(_across(named, spare, bits, labels, facts, percent).join(pairs, ["a", "b"], "left_anti"), "across")
     if not left.isEmpty():
-        more = T.stored(_verified(left, docs, words, percent), "links")
-        if not more.isEmpty():
-            labels = graph.components(links.unionByName(more))
+        sets = _sets(docs, _ids(left), words)
+        T.release(spark)
+        third = T.stored(_verified(left, sets, percent), "links")
+        T.discard(sets)
+        if not third.isEmpty():
+            labels = graph.components(links.unionByName(third))
     T.release(spark)
     out = facts.join(reps, facts.a == reps.doc, "left").select("a", "b", F.coalesce("rep", "a").alias("rep"))
     return out.join(labels, out.rep == labels.node, "left").select(F.col("a").alias(id_col), F.col("b").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

@@ -108,10 +108,13 @@ def test_pigeonhole():
             both = len(np.intersect1d(base, other))
             if not len(other) or 100 * both < 75 * (len(base) + len(other) - both):
                 continue
+            rows = ngramjoin.parities([base, other])
+            assert sum(int(x ^ y).bit_count() if x ^ y >= 0 else int((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(rows[0].tolist(), rows[1].tolist(), strict=True)) <= len(base) + len(other) - 2 * both
             bands = ngramjoin.Bands(75)
             for s in (base, other):
                 bands.number(len(s))
-            keys, docs, roles = ngramjoin.entries([base, other], bands)
+            keys, docs, roles, spare = ngramjoin.entries([base, other], bands)
+            assert (spare[:, 2] >= 0).all()
             a = {(k, r) for k, d, r in zip(keys.tolist(), docs.tolist(), roles.tolist(), strict=True) if d == 0}
             b = {(k, r) for k, d, r in zip(keys.tolist(), docs.tolist(), roles.tolist(), strict=True) if d == 1}
             large, small = (a, b) if len(base) >= len(other) else (b, a)
