@@ -130,7 +130,7 @@ def _by_row(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
 def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: float = K) -> DataFrame:
     """Per row: id_col, n_tokens, score. target: one column, ids of the target documents."""
     spark = df.sparkSession
-    n_parts = T.parts(spark)
+    n_parts = 2 * T.parts(spark)  # a part holds every occurrence of its keys: two for each partition keep a task small
     text = F.coalesce(df[text_col], F.lit(""))
     row = F.xxhash64(df[id_col].cast("string"), text)
     named = target.select(F.col(target.columns[0]).alias("__target")).where("__target is not null").distinct()
@@ -145,7 +145,7 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             rows = np.array(batch.column(0)).view(np.uint64)
             inside = np.array(batch.column(2)).astype(np.uint8)
-            for i, j, t in T.slices(T.texts(batch.column(1)), 4 << 20):
+            for i, j, t in T.slices(T.texts(batch.column(1)), 2 << 20):
                 row, flag = rows[i:j], inside[i:j]
                 made: list[tuple[int, bytes]] = []
                 total = np.zeros(j - i)
