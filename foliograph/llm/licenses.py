@@ -1,8 +1,10 @@
 """License scans by ordered signature rules.
 
-A rule is a regular expression with a label, a priority, a relevance and a
-keyword, one word that every match holds. The words of all texts of a slice are
-hashed at once; only texts with a rule's keyword are matched with that rule.
+A rule is a regular expression with a label, a priority, a relevance, a keyword
+and a core. The keyword is a string that every match holds, as a word or as a part
+of one ("gpl" in "lgplv2.1", "bsd" in "freebsd"); the core is the pattern of the
+name, without its form, that every match holds too. A text is matched with a rule
+only if it has the rule's keyword, and then the rule's core; neither test loses a match.
 Detections are then taken by priority (then length, then place), and one that
 lies inside a stretch already taken is dropped, so that a full license notice
 hides the short mentions that it contains.
@@ -128,13 +130,14 @@ class Rule:
     priority: int
     relevance: float
     pattern: re.Pattern
+    core: re.Pattern
 
 
 def rules() -> list[Rule]:
     """All rules, by priority."""
     edge = lambda p: re.compile(rf"(?<![0-9a-z\x80-\U0010ffff])(?:{p})(?![0-9a-z\x80-\U0010ffff])")
-    made = [Rule(label, word, priority + (any(c.isdigit() for c in label)), relevance, edge(form.replace("NAME", name))) for label, word, name in NAMES for priority, relevance, form in FORMS]
-    made += [Rule(label, word, priority, relevance, edge(p)) for label, word, priority, relevance, p in SINGLE]
+    made = [Rule(label, word, priority + (any(c.isdigit() for c in label)), relevance, edge(form.replace("NAME", name)), re.compile(name)) for label, word, name in NAMES for priority, relevance, form in FORMS]
+    made += [Rule(label, word, priority, relevance, edge(p), re.compile(p)) for label, word, priority, relevance, p in SINGLE]
     return sorted(made, key=lambda r: -r.priority)
 
 
@@ -169,12 +172,19 @@ def word_hashes(words: list[str]) -> np.ndarray:
 class Scanner:
     def __init__(self):
         self.rules = rules()
-        self.keywords = sorted({r.keyword for r in self.rules})
-        hashed = word_hashes(self.keywords)
-        order = np.argsort(hashed)
-        self.hashed, self.by_hash = hashed[order], [self.keywords[i] for i in order]
+        self.gates: dict[bytes, dict[re.Pattern, list[Rule]]] = {}
+        for r in self.rules:
+            self.gates.setdefault(r.keyword.encode(), {}).setdefault(r.core, []).append(r)
         self.base = [(word_hashes(p.split()), label) for p, label in BASE.items()]
 
+    def find(self, raw: bytes) -> list[Detection]:
+        """Detections in a text whose A-Z are lower case already: the same as of detect() with all rules."""
+        cores = [x for keyword, x in self.gates.items() if keyword in raw]
+        if not cores:
+            return []
+        text = raw.decode("utf-8", "replace")
+        return detect(text, [r for x in cores for core, same in x.items() if core.search(text) for r in same])
+
     def scan(self, t: T.Texts) -> dict:
         n = len(t)
         w = T.Words(t, T.ALNUM_SEP, lower=True)
@@ -195,17 +205,8 @@ class Scanner:
         first, last = np.full(n, -1), np.full(n, -1)
         first[doc[::-1]] = rel[::-1]
         last[doc] = rel
-        slot = np.searchsorted(self.hashed, words)
-        slot[slot == len(self.hashed)] = 0
-        gate = np.flatnonzero(self.hashed[slot] == words)
-        have: dict[int, set[str]] = {}
-        for d, s in zip(w.doc[gate].tolist(), slot[gate].tolist(), strict=True):
-            have.setdefault(d, set()).add(self.by_hash[s])
-        lower = w.data
-        found: list[list[Detection]] = [[] for _ in range(n)]
-        for d, keys in have.items():
-            raw = lower[t.offs[d] : t.offs[d + 1]].tobytes().decode("utf-8", "replace")
-            found[d] = detect(raw, [r for r in self.rules if r.keyword in keys])
+        lower = T.Texts(w.data, t.offs)
+        found = [self.find(lower.raw(i)) for i in range(n)]
         joined = [",".join(sorted(base | {x.label for x in det})) for base, det in zip(labels, found, strict=True)]
         score = [max([0.5 * bool(base), *(x.relevance for x in det)]) for base, det in zip(labels, found, strict=True)]
         none = n_base == 0
