@@ -12,13 +12,16 @@ Defined results: null and empty texts have no words and no hits, null and
 wordless items are no pattern; equal windows of several items count for each of
 them; repeated item rows count as one item; an empty benchmark hits nothing.
 Patterns are broadcast only up to `max_patterns` of them: a larger benchmark is
-searched in blocks of items, whose hits are joined per document afterwards.
+searched in blocks of items, whose hits are joined per row afterwards: rows are
+numbered and stored before, so that every row keeps a result of its own, repeated
+ids and null ids too, at every size of the benchmark.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +144,7 @@ def _rows(n_words, n_hit, items, spans) -> dict:
     }
 
 
-def _find(df: DataFrame, items: list[tuple[int, bytes]], id_col: str, text_col: str, window: int) -> DataFrame:
+def _find(df: DataFrame, items: list[tuple[int, bytes]], keep: list[str], text_col: str, window: int) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(items)
     built: list[list[Group]] = []
 
@@ -152,7 +155,7 @@ def _find(df: DataFrame, items: list[tuple[int, bytes]], id_col: str, text_col:
         spans = _spans(hit, first)
         return _rows(n_words, [sum(b - a for a, b in x) for x in spans], found, spans)
 
-    return T.per_row(df, [text_col], SCHEMA, make, [id_col])
+    return T.per_row(df, [text_col], SCHEMA, make, keep)
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -171,14 +174,15 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, most: int) -> Iterat
 
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """Per row of df: words, hit words, the item ids with occurring windows, spans of hit words, and whether any is hit."""
-    found = [_find(df, block, id_col, text_col, window) for block in _blocks(items, item_col, item_text_col, max_patterns)]
-    if len(found) == 1:
-        return found[0]
-    # with several blocks, rows of one id and one number of words become one
-    every = found[0]
-    for x in found[1:]:
-        every = every.unionByName(x)
-    kept = every.groupBy(id_col, "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    blocks = _blocks(items, item_col, item_text_col, max_patterns)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return _find(df, block, [id_col], text_col, window)
+    own = T.stored(df.select(F.monotonically_increasing_id().alias("__row"), df[id_col].alias("__id"), df[text_col].alias("__own")), "documents")
+    every = _find(own, block, ["__row", "__id"], "__own", window)
+    for block in chain([more], blocks):
+        every = every.unionByName(_find(own, block, ["__row", "__id"], "__own", window))
+    kept = every.groupBy("__row").agg(F.first("__id").alias(id_col), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
     kind = kept.schema[id_col].dataType.simpleString()
 
     def merge(batches):
