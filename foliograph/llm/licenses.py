@@ -9,8 +9,10 @@ Detections are then taken by priority (then length, then place), and one that
 lies inside a stretch already taken is dropped, so that a full license notice
 hides the short mentions that it contains.
 
-Rules come from a table of license names and a table of statement forms, hundreds
-together. Three plain phrases are counted besides ("base"): places where their
+Most rules are the products of a table of license names and a table of statement
+forms, so that many differ in the name only; SPDX identifiers and single notices
+are listed one by one. A blank in a table's pattern stands for any white space, line
+feeds too: wrapped notices are found. Three plain phrases are counted besides ("base"): places where their
 words stand one after the other.
 
 Defined results: null and empty texts have no words, no places and no labels, and
@@ -98,6 +100,56 @@ NAMES = [
     ("public-domain", "domain", r"(?:in|into|to) the public domain"),
 ]
 
+# SPDX identifiers: label, pattern in lower case. They count after "SPDX-License-Identifier" only, anywhere in its expression.
+SPDX = [
+    ("apache-2.0", r"apache-2\.0"),
+    ("apache-1.1", r"apache-1\.1"),
+    ("apache-1.0", r"apache-1\.0"),
+    ("mit", r"mit"),
+    ("mit-0", r"mit-0"),
+    ("x11", r"x11"),
+    ("isc", r"isc"),
+    ("zlib", r"zlib"),
+    ("bsd-0", r"0bsd"),
+    ("bsd-2", r"bsd-2-clause"),
+    ("bsd-3", r"bsd-3-clause"),
+    ("bsd-4", r"bsd-4-clause"),
+    ("gpl-1", r"gpl-1\.0(?:\+|-only|-or-later)?"),
+    ("gpl-2", r"gpl-2\.0(?:\+|-only|-or-later)?"),
+    ("gpl-3", r"gpl-3\.0(?:\+|-only|-or-later)?"),
+    ("lgpl-2", r"lgpl-2\.[01](?:\+|-only|-or-later)?"),
+    ("lgpl-3", r"lgpl-3\.0(?:\+|-only|-or-later)?"),
+    ("agpl-3", r"agpl-3\.0(?:\+|-only|-or-later)?"),
+    ("gfdl", r"gfdl-1\.[123](?:-only|-or-later)?"),
+    ("mpl-1.1", r"mpl-1\.1"),
+    ("mpl-2.0", r"mpl-2\.0(?:-no-copyleft-exception)?"),
+    ("epl-1.0", r"epl-1\.0"),
+    ("epl-2.0", r"epl-2\.0"),
+    ("cddl", r"cddl-1\.[01]"),
+    ("cpl", r"cpl-1\.0"),
+    ("artistic-1", r"artistic-1\.0(?:-cl8|-perl)?"),
+    ("artistic-2", r"artistic-2\.0"),
+    ("boost", r"bsl-1\.0"),
+    ("unlicense", r"unlicense"),
+    ("wtfpl", r"wtfpl"),
+    ("python", r"(?:psf-2\.0|python-2\.0(?:\.1)?)"),
+    ("php", r"php-3\.01?"),
+    ("ruby", r"ruby"),
+    ("openssl", r"openssl"),
+    ("eupl", r"eupl-1\.[012]"),
+    ("ofl", r"ofl-1\.[01](?:-no-rfn|-rfn)?"),
+    ("odbl", r"odbl-1\.0"),
+    ("odc-by", r"odc-by-1\.0"),
+    ("cc0", r"cc0-1\.0"),
+    ("cc-by", r"cc-by-(?:[134]\.0|2\.[05])"),
+    ("cc-by-sa", r"cc-by-sa-(?:[134]\.0|2\.[05])"),
+    ("cc-by-nc", r"cc-by-nc-(?:[134]\.0|2\.[05])"),
+    ("cc-by-nd", r"cc-by-nd-(?:[134]\.0|2\.[05])"),
+    ("cc-by-nc-sa", r"cc-by-nc-sa-(?:[134]\.0|2\.[05])"),
+    ("cc-by-nc-nd", r"cc-by-nc-nd-(?:[134]\.0|2\.[05])"),
+]
+SPDX_FORM = (45, 0.95, r"spdx-license-identifier:?[\s(]*(?:[-+.0-9a-z]+[\s)]+(?:and|or|with)[\s(]+)*(?P<at>NAME)(?![-+.]?[0-9a-z])")
+
 # Forms: priority, relevance, pattern with the name in the place of NAME.
 FORMS = [
     (60, 1.00, r"(?:this|the) (?:work|text|page|file|program|software|document|content|article|dataset) is (?:licensed|released|distributed|available|published) (?:under|with) (?:the )?(?:terms of )?(?:the |an? )?NAME"),
@@ -108,18 +160,18 @@ FORMS = [
     (10, 0.60, r"NAME"),
 ]
 
-# Single rules: label, keyword, priority, relevance, pattern.
+# Single rules: label, keyword, priority, relevance, pattern. What its group "at" matches is detected; without it, nothing.
 SINGLE = [
     ("reserved", "reserved", 20, 0.70, r"all rights reserved"),
-    ("reserved", "copyright", 35, 0.85, r"copyright(?: \(c\)| ©)? ?(?:19|20)[0-9]{2}[^\n]{0,80}?all rights reserved"),
+    ("reserved", "copyright", 35, 0.85, r"copyright(?: \(c\)| ©)? ?(?:19|20)[0-9]{2}(?s:.){0,80}?all rights reserved"),
     ("copyright", "copyright", 15, 0.40, r"copyright(?: \(c\)| ©)? ?(?:19|20)[0-9]{2}"),
     ("mit", "permission", 55, 0.98, r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("bsd", "redistribution", 55, 0.98, r"redistribution and use in source and binary forms, with or without modification"),
     ("gpl", "redistribute", 55, 0.98, r"you can redistribute it and/or modify it under the terms of the gnu general public license"),
-    ("apache-2.0", "apache", 55, 0.98, r"you may not use this file except in compliance with the license[^\n]{0,200}apache"),
-    ("gpl", "general", 12, 0.60, r"(?<!lesser )(?<!affero )(?<!library )general public license"),
+    ("apache-2.0", "apache", 55, 0.98, r"you may not use this file except in compliance with the license(?s:.){0,200}apache"),
+    ("gpl", "general", 12, 0.60, r"(?:lesser|affero|library) general public license|(?P<at>general public license)"),
     ("proprietary", "proprietary", 25, 0.70, r"(?:proprietary and confidential|confidential and proprietary)"),
-    ("no-reuse", "permission", 25, 0.70, r"(?:may not be|do not) (?:reproduced|copied|reproduce|copy)[^\n]{0,60}without (?:prior )?(?:written )?permission"),
+    ("no-reuse", "permission", 25, 0.70, r"(?:may not be|do not) (?:reproduced|copied|reproduce|copy)(?s:.){0,60}without (?:prior )?(?:written )?permission"),
 ]
 
 
@@ -133,11 +185,21 @@ class Rule:
     core: re.Pattern
 
 
+def spaced(pattern: str) -> str:
+    """The pattern with any white space where a table's pattern has a blank."""
+    for blank, wide in (("[- ]", r"(?:-|\s+)"), (" ?", r"\s*"), (" ", r"\s+")):
+        pattern = pattern.replace(blank, wide)
+    return pattern
+
+
 def rules() -> list[Rule]:
     """All rules, by priority."""
     edge = lambda p: re.compile(rf"(?<![0-9a-z\x80-\U0010ffff])(?:{p})(?![0-9a-z\x80-\U0010ffff])")
-    made = [Rule(label, word, priority + (any(c.isdigit() for c in label)), relevance, edge(form.replace("NAME", name)), re.compile(name)) for label, word, name in NAMES for priority, relevance, form in FORMS]
-    made += [Rule(label, word, priority, relevance, edge(p), re.compile(p)) for label, word, priority, relevance, p in SINGLE]
+    rank = lambda priority, label: priority + any(c.isdigit() for c in label)
+    made = [Rule(label, word, rank(priority, label), relevance, edge(spaced(form.replace("NAME", name))), re.compile(spaced(name))) for label, word, name in NAMES for priority, relevance, form in FORMS]
+    priority, relevance, form = SPDX_FORM
+    made += [Rule(label, "spdx-license-identifier", rank(priority, label), relevance, edge(form.replace("NAME", name)), re.compile(name)) for label, name in SPDX]
+    made += [Rule(label, word, priority, relevance, edge(spaced(p)), re.compile(spaced(p))) for label, word, priority, relevance, p in SINGLE]
     return sorted(made, key=lambda r: -r.priority)
 
 
@@ -161,7 +223,11 @@ def resolve(found: list[Detection]) -> list[Detection]:
 
 def detect(text: str, candidates: list[Rule]) -> list[Detection]:
     """Detections in a text whose A-Z are lower case already."""
-    return resolve([Detection(r.label, m.start(), m.end(), r.priority, r.relevance) for r in candidates for m in r.pattern.finditer(text)])
+    found = []
+    for r in candidates:
+        group = r.pattern.groupindex.get("at", 0)
+        found += [Detection(r.label, *m.span(group), r.priority, r.relevance) for m in r.pattern.finditer(text) if m[group] is not None]
+    return resolve(found)
 
 
 def word_hashes(words: list[str]) -> np.ndarray:

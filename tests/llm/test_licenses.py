@@ -68,3 +68,25 @@ def test_keyword_inside_a_word():
     got = scan(["This software is licensed under GPLv2.", "LGPLv2.1", "AGPLv3", "gpl2", "under the FreeBSD license", "CDDL1.0", "CC01.0", "Copyright2020", "no gplish words"])
     assert got["labels"].to_pylist() == ["gpl-2", "lgpl-2", "agpl-3", "gpl-2", "bsd-2", "cddl", "cc0", "copyright", ""]
     assert got["score"].to_pylist()[0] == 1.0
+
+
+def test_wrapped_notices():
+    got = scan([
+        "This library comes under the GNU Lesser General Public\nLicense, version\n  2.1",
+        "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published",
+        'you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/\n',
+        "Copyright (c) 2020, Some One\nAll rights reserved.",
+        "under CC BY\n  NC 4.0",
+        "Mozilla\tPublic  License\r\nVersion 2.0",
+        "Lesser  General\nPublic License",
+        "the  General\nPublic License",
+    ])
+    assert got["labels"].to_pylist() == ["gpl,lgpl-2", "gpl", "apache-2.0", "reserved", "cc-by,cc-by-nc", "mpl-2.0", "gpl", "gpl"]
+    found = [[x["label"] for x in one] for one in got["detections"].to_pylist()]
+    assert found == [["lgpl-2"], ["gpl"], ["apache-2.0"], ["reserved"], ["cc-by-nc"], ["mpl-2.0"], [], ["gpl"]]
+
+
+def test_spdx_identifiers():
+    own = ["MIT", "Apache-2.0", "BSD-3-Clause", "MPL-2.0", "MIT-0", "(MIT OR Apache-2.0) AND BSD-2-Clause", "GPL-2.0-only WITH Classpath-exception-2.0", "MITNFA"]
+    got = scan([f"// SPDX-License-Identifier: {x}\nint x;" for x in own])
+    assert got["labels"].to_pylist() == ["mit", "apache-2.0", "bsd-3", "mpl-2.0", "mit-0", "apache-2.0,bsd-2,mit", "gpl-2", ""]
