@@ -24,7 +24,8 @@ Defined results: null, empty and wordless texts have no tokens and score 0; rows
 name no row, repeated or null ones change nothing; with no target at all the
 target model has only what is added to its counts; an empty table gives an empty result; other columns are
 ignored. Words are what white space parts, with A-Z in lower case; words and
-bigrams are compared by 64-bit hashes.
+bigrams are compared by 64-bit hashes, all of whose bits are shuffled: the result
+does not depend on the number of parts.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .blobs import SCHEMA, batch_of, by_part, by_row, deal, from48, low48, pack, unpack
+from .blobs import SCHEMA, batch_of, by_part, by_row, deal, pack, unpack
 
 K = 1.0
 HOT_KEYS = 4096
@@ -47,7 +48,7 @@ SAMPLE_ROWS, HOT_SHARE = 1000, 1 / 40
 MAX_BROADCAST_IDS = 1_000_000
 
 WORDS, PAIRS, SUMS = range(3)
-_ENTRY = [np.uint8, np.uint32, np.uint64, np.uint32, np.uint8]
+_ENTRY = [np.uint64, np.uint32, np.uint64, np.uint32, np.uint8]
 _KINDS = {WORDS: _ENTRY, PAIRS: _ENTRY, SUMS: [np.uint64, np.float64, np.int64, np.int64]}
 
 
@@ -163,7 +164,7 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
                     part = ((key >> np.uint64(40)) % np.uint64(n_parts)).astype(np.int64)
                     for p, o in by_part(part, n_parts):
                         new = np.flatnonzero(np.append(True, d[o][1:] != d[o][:-1]))
-                        made.append((p, pack(kind, low48(key[o]), times[o].astype(np.uint32), row[d[o][new]], np.diff(np.append(new, len(o))).astype(np.uint32), flag[d[o][new]])))
+                        made.append((p, pack(kind, key[o], times[o].astype(np.uint32), row[d[o][new]], np.diff(np.append(new, len(o))).astype(np.uint32), flag[d[o][new]])))
                 made += deal(SUMS, by_row(n_parts, row), n_parts, row, total, n, np.ones(j - i, np.int64))
                 yield batch_of(made)
 
@@ -177,7 +178,7 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
         for kind in (WORDS, PAIRS):
             if not got[kind]:
                 continue
-            key = from48(np.concatenate([x[0] for x in got[kind]]))
+            key = np.concatenate([x[0] for x in got[kind]])
             times = np.concatenate([x[1] for x in got[kind]]).astype(np.int64)
             row = np.concatenate([np.repeat(x[2], x[3]) for x in got[kind]])
             flag = np.concatenate([np.repeat(x[4], x[3]) for x in got[kind]]).astype(np.int64)

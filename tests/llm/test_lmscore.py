@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from foliograph.llm import lmscore
@@ -58,3 +59,26 @@ def test_target_language_is_seen(spark):
     ones = sum(y for _, y in pairs)
     auc = (sum(k for k, (_, y) in enumerate(pairs) if y) - ones * (ones - 1) / 2) / (ones * (len(pairs) - ones))
     assert auc > 0.9
+
+
+def test_keys_keep_all_bits(spark, monkeypatch):
+    """Words whose keys differ in the upper 16 bits only, and meet in one part, are counted apart."""
+    step = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def keys_of(t):
+        w = lmscore.T.Words(t, lmscore.T.SPACE_SEP, lower=True)
+        number = np.array([int(w.data[a:b].tobytes()) for a, b in zip(w.start, w.end, strict=True)], np.uint64)
+        return [(lmscore.WORDS, w.doc, (number * np.uint64(step)) << np.uint64(48))]
+
+    monkeypatch.setattr(lmscore, "SAMPLE_ROWS", 0)
+    monkeypatch.setattr(lmscore, "keys_of", keys_of)
+    texts, target = ["1 1 2", "2 3", "1 4 4", "3"], {0, 2}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = dict(lmscore.score(df, spark.createDataFrame([(i,) for i in target], "doc_id bigint")).select("doc_id", "score").collect())
+    every = Counter(w for x in texts for w in x.split())
+    inside = Counter(w for i in target for w in texts[i].split())
+    rate = inside.total() / every.total()
+    for i, text in enumerate(texts):
+        own = Counter(text.split())
+        want = sum(math.log(rate * (every[w] - own[w]) + lmscore.K) - math.log(inside[w] - (i in target) * own[w] + lmscore.K) for w in text.split()) / 2 / own.total()
+        assert got[i] == pytest.approx(want, abs=1e-9)
