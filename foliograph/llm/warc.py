@@ -15,7 +15,9 @@ smaller than `min_revisit` bytes are always responses.
 Defined results: null payloads are stored as empty ones; rows without an id are
 not archived, since nothing could refer to them; of repeated ids with one payload
 each row has a record, and all of them but none refer to themselves: the id's own
-rows are responses; null URLs are stored as an empty target; an empty table gives
+rows are responses; of repeated ids with different payloads each row is a response
+or a revisit by its own payload, and a record's id follows from page id and payload
+digest, so that a reference names the record that holds the payload; null URLs are stored as an empty target; an empty table gives
 no archives and an empty result; other columns are ignored.
 """
 
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
@@ -58,28 +60,28 @@ def sha1_32(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
-def record_uuid(kind: str, page: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}/{page}')}>"
+def record_uuid(kind: str, page: int, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}/{page}/{digest}')}>"
 
 
 def build(page: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One record, before compression."""
-    revisit = refers_to is not None
+    revisit, digest = refers_to is not None, sha1_32(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": record_uuid("record", page),
+        "WARC-Record-ID": record_uuid("record", page, digest),
         "WARC-Date": _DATE,
         "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         "X-Page-ID": str(page),
-        "WARC-Payload-Digest": f"sha1:{sha1_32(payload)}",
+        "WARC-Payload-Digest": f"sha1:{digest}",
         "WARC-Block-Digest": f"sha1:{sha1_32(block)}",
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
     }
     if revisit:
-        head |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_uuid("record", refers_to), "X-Refers-To-Page-ID": str(refers_to)}
+        head |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_uuid("record", refers_to, digest), "X-Refers-To-Page-ID": str(refers_to)}
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items())
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -169,19 +171,27 @@ def train_dictionary(pages: DataFrame, payload_col: str = "html", rows: int = SA
         return b""
 
 
+def _payload_key(payload: Column) -> tuple[Column, Column]:
+    """SHA-1 and length of a payload."""
+    raw = F.coalesce(payload, F.lit("")).cast("binary")
+    return F.unhex(F.sha1(raw)), F.octet_length(raw)
+
+
 def references(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_revisit: int = 0) -> DataFrame:
-    """(id, refers_to) of the rows whose payload a row with a smaller id has too; digests alone are shuffled."""
-    raw = F.coalesce(pages[payload_col], F.lit("")).cast("binary")
-    facts = pages.where(pages[id_col].isNotNull() & (F.octet_length(raw) >= min_revisit)).select(pages[id_col].alias("__id"), F.unhex(F.sha1(raw)).alias("__sha"), F.octet_length(raw).alias("__n"))
+    """(id, payload's SHA-1 and length, refers_to) of the rows whose payload a row with a smaller id has too; digests alone are shuffled."""
+    sha, n = _payload_key(pages[payload_col])
+    facts = pages.where(pages[id_col].isNotNull() & (n >= min_revisit)).select(pages[id_col].alias("__id"), sha.alias("__sha"), n.alias("__n"))
     first = facts.groupBy("__sha", "__n").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__rows")).where("__rows > 1").drop("__rows")
-    return facts.join(first, ["__sha", "__n"]).where(F.col("__id") != F.col("__first")).select("__id", "__first").distinct()
+    return facts.join(first, ["__sha", "__n"]).where(F.col("__id") != F.col("__first")).select("__id", "__sha", "__n", "__first").distinct()
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes a record for each row; path becomes a folder of archives."""
     dictionary = train_dictionary(pages, payload_col)
     refs = references(pages, id_col, payload_col, min_revisit)
-    rows = pages.where(pages[id_col].isNotNull()).select(pages[id_col].alias("__page"), pages[url_col].cast("string").alias("__url"), pages[payload_col].alias("__payload")).join(refs, F.col("__page") == F.col("__id"), "left").select("__page", "__url", "__payload", "__first")
+    rows = pages.where(pages[id_col].isNotNull()).select(pages[id_col].alias("__page"), pages[url_col].cast("string").alias("__url"), pages[payload_col].alias("__payload"))
+    sha, n = _payload_key(F.col("__payload"))
+    rows = rows.join(refs, (F.col("__page") == F.col("__id")) & (sha == F.col("__sha")) & (n == F.col("__n")), "left").select("__page", "__url", "__payload", "__first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True)
