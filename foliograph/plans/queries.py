@@ -442,8 +442,14 @@ def bbox_union_all(spark, sf):
 # -- page kernels on drawn forms: no SQL says the same
 
 
+#: Drawn pages in one task at most, on average: an image has about 4 MB.
+TASK_PAGES = 8
+
+
 def drawn(spark: SparkSession, sf: str) -> DataFrame:
-    return D.drawn_pages(X.table(spark, sf, "region").select("r_regionkey").repartition(5), "r_regionkey")
+    """A drawn form for each row of pages, in as many tasks as they need."""
+    ids = X.table(spark, sf, "pages").select("page_id")
+    return D.drawn_pages(ids.repartition(max(1, -(-ids.count() // TASK_PAGES))), "page_id")
 
 
 @query()
