@@ -62,5 +62,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = textops.stored(docs, f"pipeline-{name}")
-            textops.release(spark)
     return docs

@@ -15,6 +15,10 @@ def components(edges: DataFrame) -> DataFrame:
     label, until none changes; every round is stored in the shared folder. No
     edge list or label ever reaches the driver, and a hot node's edges are
     reduced before they are shuffled or split by the adaptive skew join.
+
+    Defined results: edges from a node to itself name no end; repeated edges
+    count once; edges with a null end are left out; no edges give an empty table.
+    The result is stored; its stored_at names where, for textops.discard().
     """
     both = T.stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
     labels = T.stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")), "labels")
@@ -28,5 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         T.discard(labels)
         if new.where("component != was").isEmpty():
             T.discard(both)
-            return new.drop("was")
+            named = new.drop("was")
+            named.stored_at = new.stored_at
+            return named
         labels = new

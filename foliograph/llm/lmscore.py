@@ -206,6 +206,5 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     part = F.col("part")
     sums = docs.mapInArrow(send, SCHEMA).repartitionById(n_parts, part).mapInArrow(add, SCHEMA).repartitionById(n_parts, part).mapInArrow(finish, "row bigint, n bigint, score double")
     sums = T.stored(sums, "sums")
-    T.release(spark)
     rows = df.select(df[id_col].alias(id_col), row.alias("__row")).join(sums, F.col("__row") == F.col("row"))
     return rows.select(id_col, F.col("n").alias("n_tokens"), "score")

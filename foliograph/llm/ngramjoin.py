@@ -36,10 +36,11 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
@@ -49,16 +50,17 @@ from .blobs import SCHEMA, batch_of, by_part, from48, low48, pack, unpack
 WORDS = 5
 PERCENT = 75
 #: Bytes of text whose parts are compared with each other before the shuffle.
-LOCAL_BYTES = 8 << 20
+LOCAL_BYTES = 4 << 20
 #: One in so many segments is also indexed with deletions.
 DELETION_SHARE = 16
 #: Segments beyond those that the largest partner needs, one in so many: room to leave common parts out.
 SPARE_SHARE = 6
-#: Bits that bound from below in how many elements two sets differ.
-BITMAP = 512
-
-#: Ids of documents to compare are broadcast up to this number.
-MAX_BROADCAST_IDS = 1_000_000
+#: Bits that bound from below in how many elements two sets differ, and those that are left of them where many rows carry them.
+BITMAP, FOLDED = 1024, 512
+#: Partners that one copy of a text is compared with.
+CHUNK = 64
+#: Bits of the filter of ids: 8 MB, whatever the number of ids. A fuller filter lets more texts through to the join on ids, and changes no result.
+FILTER_BITS = 1 << 26
 
 INDEXED, PROBES, GATHERED, FIXED, MAYBE = 1, 2, 4, 8, 16
 OFFSET = 32  # from this bit on: how many bands below its own the key belongs to
@@ -366,43 +368,82 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _rows(PAIR, both[0], both[1])
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, set) of the documents named in ids, stored."""
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose ids are in ids, and few others: those that a filter of fixed size lets through."""
+    spark = docs.sparkSession
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words = ids.select(slot("id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("word")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    bits[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    shared = spark.sparkContext.broadcast(bits.view(np.uint8))
 
-    def make(t: T.Texts) -> dict:
-        return {"set": pa.array([s.tobytes() for s in shingle_sets(t, words)], pa.binary())}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield batch.select([0, 1]).filter(pa.array((table[at >> 3] >> (at & 7)) & 1 > 0))
 
-    wanted = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids  # else the texts are shuffled
-    chosen = docs.join(wanted, F.col("__id") == F.col("node")).select("__id", "__text")
-    return T.stored(T.per_row(chosen, ["__text"], "set binary", make, ["__id"]), "sets")
+    return docs.where("__id is not null").select("__id", "__text", slot("__id").alias("slot")).mapInArrow(run, "__id bigint, __text string")
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are as similar as asked."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < percent * len(large) or not len(small):
+        return False
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are as similar as asked."""
-    left = sets.select(F.col("__id").alias("a"), F.col("set").alias("left"))
-    right = sets.select(F.col("__id").alias("b"), F.col("set").alias("right"))
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are as similar as asked.
+
+    The text of b goes to that of a; where a has many partners they are dealt to
+    several groups, each with a copy of a. A task reads its groups in order, a
+    first, and holds the set of one a at a time.
+    """
+    n_parts = T.parts(docs.sparkSession)
+    crowd = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select(F.col("a").alias("crowded"), "n")
+    dealt = pairs.join(crowd, F.col("a") == F.col("crowded"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("n", F.lit(1)) / CHUNK)).cast("int").alias("chunk"))
+    roles = T.stored(dealt.select("a", "chunk", F.col("b").alias("id"), F.lit(1).alias("role")).unionByName(dealt.select("a", "chunk", F.col("a").alias("id"), F.lit(0).alias("role")).distinct()), "roles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, centre = None, {}
         for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if 100 * len(small) < percent * len(large) or not len(small):
-                    continue
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                ok[k] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield batch.select([0, 1]).filter(pa.array(ok))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
-
-
-def _across(members: DataFrame, spare: DataFrame, bits: DataFrame, labels: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+            a, chunk, role, b = (batch.column(k).to_numpy() for k in range(4))
+            good = np.zeros(batch.num_rows, bool)
+            for i, _, t in T.slices(T.texts(batch.column(4))):
+                for k, s in enumerate(shingle_sets(t, words), i):
+                    if (a[k], chunk[k]) != group:
+                        group, centre = (a[k], chunk[k]), {}
+                    if role[k]:
+                        good[k] = any(alike(x, s, percent) for x in centre.values())
+                    else:
+                        centre[s.tobytes()] = s
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
+
+    rows = roles.join(_texts_of(docs, roles.select("id")), F.col("id") == F.col("__id")).select("a", "chunk", "role", "id", "__text")
+    found = T.stored(rows.repartition(n_parts, "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+    T.discard(roles)
+    return found
+
+
+def _fold(bits: Column, size: int) -> Column:
+    """Bitmaps with as many bits as asked: classes that fall together are added modulo 2."""
+    n = size // 64
+    return F.array(*(reduce(Column.bitwiseXOR, [bits[k] for k in range(j, BITMAP // 64, n)]) for j in range(n)))
+
+
+def _may_link(p: str, q: str, size: int, percent: int) -> Column:
+    """Whether the sizes and bitmaps of two documents leave room for a link."""
+    bit = lambda x, k: F.col(f"{x}.bits")[k]
+    differ = sum((F.bit_count(bit(p, k).bitwiseXOR(bit(q, k))) for k in range(size // 64)), F.lit(0))
+    sizes = (F.col(f"{q}.most") * 100 >= F.col(f"{p}.least") * percent) & (F.col(f"{p}.most") * 100 >= F.col(f"{q}.least") * percent)
+    return sizes & F.coalesce(differ * (100 + percent) <= (F.col(f"{p}.most") + F.col(f"{q}.most")) * (100 - percent), F.lit(True))
+
+
+def _across(members: DataFrame, spare: DataFrame, shapes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of one key whose documents are in different components and of sizes that allow a link.
 
     Now that it is known how many documents share each key, every document leaves
@@ -410,7 +451,6 @@ def _across(members: DataFrame, spare: DataFrame, bits: DataFrame, labels: DataF
     one component, or of one document, cost nothing and are never left out. A pair
     whose bitmaps show that it differs in too many elements is no candidate.
     """
-    size = facts.where("a is not null").groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most"))
     named = members.groupBy(F.col("x").alias("key"), F.col("a").alias("doc")).agg(F.bit_or("b").alias("role")).join(labels, F.col("doc") == labels.node, "left").select("key", "doc", "role", F.coalesce("component", "doc").alias("component"))
     asks = F.col("roles").bitwiseAND(INDEXED) > 0
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_or("role").alias("roles"), F.count(F.lit(1)).alias("times")).where((F.col("low") != F.col("high")) & asks & (F.col("roles").bitwiseAND(PROBES | MAYBE) > 0)).select("key", "times")
@@ -419,13 +459,19 @@ def _across(members: DataFrame, spare: DataFrame, bits: DataFrame, labels: DataF
     probes = rows.where(role.bitwiseAND(PROBES | MAYBE) > 0).withColumn("offset", F.shiftright(role, 5))
     rank = F.row_number().over(Window.partitionBy("doc", "offset").orderBy(role.bitwiseAND(FIXED) > 0, F.col("times").desc(), "key"))
     kept = probes.withColumn("rank", rank).join(spare, ["doc", "offset"], "left").where((F.col("rank") > F.coalesce("spare", F.lit(0))) | (role.bitwiseAND(FIXED) > 0)).select("key", "doc", "component")
-    facts_of = size.join(bits, size.a == bits.rep, "left").select("a", "least", "most", "bits")
-    sized = lambda df: df.join(facts_of, F.col("doc") == facts_of.a).select("key", "doc", "component", "least", "most", "bits")
+    short = shapes.select("rep", "least", "most", _fold(F.col("bits"), FOLDED).alias("bits"))
+    sized = lambda df: df.join(short, F.col("doc") == short.rep).select("key", "doc", "component", "least", "most", "bits")
     p, q = sized(kept).alias("p"), sized(rows.where(role.bitwiseAND(INDEXED) > 0)).alias("q")
-    fits = (F.col("p.component") != F.col("q.component")) & (F.col("q.most") * 100 >= F.col("p.least") * percent) & (F.col("q.least") <= F.col("p.most"))
-    differ = sum((F.bit_count(F.col("p.bits")[k].bitwiseXOR(F.col("q.bits")[k])) for k in range(BITMAP // 64)), F.lit(0))
-    fits = fits & F.coalesce(differ * (100 + percent) <= (F.col("p.most") + F.col("q.most")) * (100 - percent), F.lit(True))
-    return p.join(q, (F.col("p.key") == F.col("q.key")) & fits).select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct()
+    fits = (F.col("p.component") != F.col("q.component")) & _may_link("p", "q", FOLDED, percent)
+    found = T.stored(p.join(q, (F.col("p.key") == F.col("q.key")) & fits).select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct(), "across")
+    T.discard(rows)
+    return found
+
+
+def _plausible(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and bitmaps leave room for."""
+    p, q = shapes.alias("p"), shapes.alias("q")
+    return pairs.alias("o").join(p, F.col("o.a") == F.col("p.rep")).join(q, (F.col("o.b") == F.col("q.rep")) & _may_link("p", "q", BITMAP, percent)).select("o.*")
 
 
 def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -435,15 +481,19 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n_parts = T.parts(spark)
     index = docs.mapInArrow(_index(n_parts, words, percent), SCHEMA).repartitionById(n_parts, F.col("part"))
     found = T.stored(index.mapInArrow(_candidates, _ROWS), "candidates")
-    T.release(spark)
     facts = found.where(f"kind = {FACT}").select("a", "b", "x", "y")
     filled = facts.where("a is not null and b > 0")
     # documents with equal sets stand for one another
     least = filled.groupBy("x", "y", "b").agg(F.min("a").alias("rep"))
     every = filled.join(least, ["x", "y", "b"]).select(F.col("a").alias("doc"), "rep").distinct()
     first = T.stored(every.groupBy("doc").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")), "reps")
-    alike = every.join(first.select("doc", F.col("rep").alias("low")), "doc").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    equal = every.join(first.select("doc", F.col("rep").alias("low")), "doc").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     reps = first.select("doc", "rep")
+    # of documents with several texts nothing is left out: their keys and sizes belong to different sets
+    several = every.join(first.where("rep != last").select("doc"), "doc").select("rep").distinct().withColumn("several", F.lit(True))
+    sizes = facts.where("a is not null").groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most")).join(reps, F.col("a") == reps.doc).groupBy("rep").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    bits = found.where(f"kind = {BITS}").select("a", "bits").join(reps, F.col("a") == reps.doc).groupBy("rep").agg(F.first("bits").alias("bits")).join(several.select("rep"), "rep", "left_anti")
+    shapes = T.stored(sizes.join(bits, "rep", "left"), "shapes")
 
     def contracted(links: DataFrame) -> DataFrame:
         a, b = reps.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("doc").alias("b"), F.col("rep").alias("rb"))
@@ -451,36 +501,29 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # keys of one part give a pair once; how many parts do tells how alike the two are likely to be
     seen = found.where(f"kind = {PAIR}").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
-    pairs = T.stored(contracted(seen), "pairs")
-    sets = _sets(docs, _ids(pairs), words)
-    T.release(spark)
+    pairs = T.stored(_plausible(contracted(seen), shapes, percent), "pairs")
     # each document is first compared with its likeliest partner only
     first_choice = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
-    links = T.stored(_verified(first_choice, sets, percent).unionByName(alike), "links")
+    links = T.stored(_verified(docs, first_choice, words, percent).unionByName(equal), "links")
     labels = graph.components(links)
     p, q = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     apart = pairs.join(first_choice, ["a", "b"], "left_anti").join(p, "a", "left").join(q, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    second = T.stored(_verified(apart, sets, percent), "links")
-    T.discard(sets)
-    T.release(spark)
-    links = links.unionByName(second)
+    second = _verified(docs, apart, words, percent)
     if not second.isEmpty():
+        links = links.unionByName(second)
         labels = graph.components(links)
     # what is left: documents of different components that share a key
-    members = found.where(f"kind = {MEMBER}")
-    # of documents with several texts nothing is left out: their keys belong to different sets
-    several = every.join(first.where("rep != last").select("doc"), "doc").select("rep").distinct().withColumn("several", F.lit(True))
     spare = found.where(f"kind = {SPARE}").join(reps, F.col("a") == reps.doc).groupBy("rep", "b").agg(F.min("x").alias("least")).join(several, "rep", "left").select(F.col("rep").alias("doc"), F.col("b").cast("int").alias("offset"), F.when(F.col("several").isNull(), F.col("least")).otherwise(0).alias("spare"))
-    bits = found.where(f"kind = {BITS}").select("a", "bits").join(reps, F.col("a") == reps.doc).groupBy("rep").agg(F.first("bits").alias("bits")).join(several.select("rep"), "rep", "left_anti")
-    named = members.join(reps, members.a == reps.doc).select(F.col("rep").alias("a"), "b", "x")
-    left = T.stored(_across(named, spare, bits, labels, facts, percent).join(pairs, ["a", "b"], "left_anti"), "across")
+    named = found.where(f"kind = {MEMBER}").join(reps, F.col("a") == reps.doc).select(F.col("rep").alias("a"), "b", "x")
+    across = _across(named, spare, shapes, labels, percent)
+    left = T.stored(_plausible(across.join(pairs, ["a", "b"], "left_anti"), shapes, percent), "left")
+    T.discard(across, shapes, pairs)
     if not left.isEmpty():
-        sets = _sets(docs, _ids(left), words)
-        T.release(spark)
-        third = T.stored(_verified(left, sets, percent), "links")
-        T.discard(sets)
+        third = _verified(docs, left, words, percent)
         if not third.isEmpty():
             labels = graph.components(links.unionByName(third))
-    T.release(spark)
-    out = facts.join(reps, facts.a == reps.doc, "left").select("a", "b", F.coalesce("rep", "a").alias("rep"))
-    return out.join(labels, out.rep == labels.node, "left").select(F.col("a").alias(id_col), F.col("b").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+        T.discard(third)
+    T.discard(left, second)
+    kept = T.stored(facts.join(reps, facts.a == reps.doc, "left").select("a", "b", F.coalesce("rep", "a").alias("rep")).join(labels, F.col("rep") == labels.node, "left").select(F.col("a").alias(id_col), F.col("b").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")), "classes")
+    T.discard(found, first, labels)
+    return kept

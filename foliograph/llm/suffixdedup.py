@@ -525,11 +525,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.where(F.octet_length(text) >= size).select(row.alias("row"), text.alias("text"))
     marks = docs.mapInArrow(_fingerprints(n_parts, size), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(_remaining(n_parts), SCHEMA)
     places = T.stored(marks.repartitionById(n_parts, F.col("part")).mapInArrow(_places, "row bigint, places binary, hot binary"), "places")
-    T.release(spark)
     some = docs.join(places, "row").select("row", "text", "places", "hot")
     runs = some.mapInArrow(_send(n_parts, size), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(_merge(n_parts, size), SCHEMA)
     spans = T.stored(runs.repartitionById(n_parts, F.col("part")).mapInArrow(_spans(size), "row bigint, spans binary"), "spans")
-    T.release(spark)
     little = lambda n: F.lit(np.array([n], np.int32).tobytes())
     head = F.substring(F.col("places"), 1, 4)
     return spans, places.where((head == little(COPY)) | (head == little(FIRST))).select("row")

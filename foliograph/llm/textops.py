@@ -7,6 +7,8 @@ memory nor the interpreter's per-row cost grows with a text's length.
 
 from __future__ import annotations
 
+import contextlib
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -198,9 +200,11 @@ def filter_rows(df: DataFrame, text_col: str, good: Callable[[Texts], np.ndarray
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir where it is set, else one for tests beside the warehouse."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset a local master (tests) gets one beside the warehouse; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
     return found.rstrip("/")
 
@@ -209,11 +213,38 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """What was written there, and a lazy result may still read, goes when the application ends."""
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
+
+
+def _files(spark: SparkSession, path: str):
+    """A path and its file system, as Spark's JVM knows them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextlib.contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs in this block go as soon as each job ends: what they gave is stored."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and any executor may be lost afterwards."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with short_lived_shuffles(spark):
+        df.write.parquet(path)
+    gone_at_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
@@ -221,17 +252,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Deletes what stored() wrote for these frames, through Spark's own file systems."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files of jobs whose results are stored."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        where, files = _files(df.sparkSession, df.stored_at)
+        files.delete(where, True)
 
 
 def parts(spark: SparkSession) -> int:
