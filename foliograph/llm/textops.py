@@ -36,7 +36,7 @@ ALNUM_SEP[:0x30] = ALNUM_SEP[0x3A:0x61] = ALNUM_SEP[0x7B:0x80] = True
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd multiplier modulo 2**64, and of its inverse."""
-    if len(_powers.get("p", ())) < n:
+    if "p" not in _powers or len(_powers["p"]) < n:
         size = max(n, SLICE_BYTES + 4096)
         for key, base in (("p", _MULT), ("i", _INV)):
             steps = np.full(size, base, np.uint64)
