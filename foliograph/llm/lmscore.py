@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .blobs import pack, unpack
 
-K, MU = 1.0, 1.0
+K, MU = 1.0, 16.0
 #: Text in a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 16 << 20
 
@@ -320,7 +320,8 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     spark = df.sparkSession
     n_parts = min(T.parts(spark), 1 << 16)
     named = target.select(F.col(target.columns[0]).alias("__target")).where("__target is not null").distinct()
-    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(named, F.col("id") == F.col("__target"), "left").select("id", "text", F.col("__target").isNotNull().alias("target"))
+    # sorted and merged at every size: the ids of a corpus' target are too many to send to every task
+    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(named.hint("merge"), F.col("id") == F.col("__target"), "left").select("id", "text", F.col("__target").isNotNull().alias("target"))
     chunks = T.stored(docs.mapInArrow(_chunks(chunk_bytes), "chunk bigint, part int, blob binary"), "chunks")
     asked = chunks.select("chunk", "blob").mapInArrow(_ask(n_parts), "part int, chunk bigint, blob binary").repartitionById(n_parts, F.col("part"))
     counts = T.stored(asked.mapInArrow(_add(n_parts), "chunk bigint, part int, blob binary, n_all bigint, n_target bigint, n_words bigint"), "counts")
