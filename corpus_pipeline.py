@@ -28,8 +28,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the long strings that stand elsewhere too; n_chars follows the text."""
-    cut = suffixdedup.deduplicated(docs)
+    """All documents, without the strings of 400 bytes and the passages of over 50 words that stand elsewhere too; n_chars follows the text.
+
+    Null texts become empty; a text that repeats another one as a whole stays as a row with what is left of it, rows of equal id and text too; rows without an id take part; an empty table stays empty.
+    """
+    cut = suffixdedup.deduplicated(docs, passage=suffixdedup.PASSAGE_BYTES)
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 

@@ -1,11 +1,13 @@
 """Removal of long repeated byte strings by a distributed merge sort of suffixes.
 
 A string of `size` bytes (a window) is repeated if it starts at two or more
-places. Its anchor is the place in its first half whose 16-byte gram has the
-smallest hash; equal windows have equal anchors at equal offsets, so only
-suffixes at anchors, about one in size / 4 places, need to be sorted.
+places. Windows of one or more sizes are decided together. The anchor of a window
+is the place in the first half of its first `least` bytes (`least` being the
+smallest of the sizes) whose 16-byte gram has the smallest hash; equal windows have
+equal anchors at equal offsets, so only suffixes at anchors, about one in least / 4
+places, need to be sorted.
 
-1. Suffixes whose first size / 2 + 1 bytes occur once are left out by a fingerprint
+1. Suffixes whose first least / 2 + 1 bytes occur once are left out by a fingerprint
    of those bytes, as no window with that anchor can be repeated.
 2. Every task sorts the suffixes that remain (cut at the end of the longest
    window) and sends them as front-coded runs: common prefix with the one before,
@@ -23,8 +25,12 @@ twice is again sent once. The bytes before an anchor are compared by 64-bit
 hashes. Texts that are equal as a whole are recognised beforehand, and one of
 them stands for all.
 
-Defined results: null counts as an empty text; texts shorter than `size` keep
-everything; of equal texts, with the same id or not, all lose what they repeat;
+Passages: a repeated passage is a run of bytes covered by repeated windows of
+`PASSAGE_BYTES` bytes that holds more than `PASSAGE_WORDS` words. So many words are
+seldom `SIZE` bytes long, but hardly ever fewer than `PASSAGE_BYTES`.
+
+Defined results: null counts as an empty text; texts shorter than a size keep
+everything of that size; of equal texts, with the same id or not, all lose what they repeat;
 rows without an id take part like others; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -43,6 +49,8 @@ from . import textops as T
 from .blobs import SCHEMA, batch_of, by_row, deal, pack, unpack
 
 SIZE = 400
+#: Repeated passages: bytes of their windows, and the words that they must exceed.
+PASSAGE_BYTES, PASSAGE_WORDS = 240, 50
 GRAM = 16
 #: A prefix with more suffixes than this is decided by hashes of windows.
 HOT = 512
@@ -93,7 +101,7 @@ RUN, WINDOW, STARTS, PREFIX, WHOLE, PLACES = range(6)
 _KINDS = {
     RUN: [np.uint16, np.uint16, np.uint8, np.uint16, np.uint8, np.uint16, np.uint64, np.uint32, np.uint64],
     WINDOW: [np.uint64, np.uint64, np.uint32, np.uint8],
-    STARTS: [np.uint64, np.uint32, np.uint32],
+    STARTS: [np.uint64, np.uint32, np.uint32, np.uint8],
     PREFIX: [np.uint64, np.uint64, np.uint32, np.uint32],
     WHOLE: [np.uint64, np.uint64, np.uint32],
     PLACES: [np.uint64, np.int32, np.uint8],
@@ -236,8 +244,8 @@ def common(a: bytes, b: bytes, known: int = 0) -> int:
 class Suffixes:
     """Suffixes of one task, by part, until they are sent."""
 
-    def __init__(self, n_parts: int):
-        self.n_parts, self.rows, self.bytes = n_parts, [], 0
+    def __init__(self, n_parts: int, sizes: list[int]):
+        self.n_parts, self.sizes, self.rows, self.bytes = n_parts, sizes, [], 0
 
     def add(self, part: int, after: bytes, before: bytes, near: int, row: int, place: int, key: int) -> None:
         self.rows.append((part, after, before, near, row, place, key))
@@ -245,7 +253,7 @@ class Suffixes:
 
     def flush(self) -> list[tuple[int, bytes]]:
         made: list[tuple[int, bytes]] = []
-        done_row, done_lo, done_hi = [], [], []
+        done: list[tuple[int, int, int, int]] = []
         self.rows.sort(key=lambda r: r[:4])
         run: list[tuple[int, int, bytes, bytes, bool, tuple]] = []
         last = None
@@ -256,6 +264,13 @@ class Suffixes:
                 made.append((part, _front_coded(run)))
                 run.clear()
 
+        def decided(r: tuple) -> None:
+            _, after, before, near, row, place, _ = r
+            for k, size in enumerate(self.sizes):
+                close_by = max(near, size - len(after))  # a window ends where the suffix does, at the latest
+                if close_by <= len(before):
+                    done.append((row, place - len(before), place - close_by, k))
+
         for r in self.rows:
             if r[0] != part:
                 close()
@@ -263,22 +278,18 @@ class Suffixes:
             if last is not None and r[1:4] == last[0][1:4]:  # the same bytes on both sides: decided here
                 if not last[1]:
                     last[1] = True
-                    _, _, before, near, row, place, _ = last[0]
-                    done_row.append(row)
-                    done_lo.append(place - len(before))
-                    done_hi.append(place - near)
-                done_row.append(r[4])
-                done_lo.append(r[5] - len(r[2]))
-                done_hi.append(r[5] - r[3])
+                    decided(last[0])
+                decided(r)
                 continue
             lcp = common(last[0][1], r[1]) if last is not None else 0
             same = last is not None and last[0][2] == r[2]
             run.append((lcp, len(r[1]), r[1][lcp:], b"" if same else r[2], same, r))
             last = [r, False]
         close()
-        if done_row:
-            row = np.array(done_row, np.uint64)
-            made += deal(STARTS, by_row(self.n_parts, row), self.n_parts, row, np.array(done_lo, np.uint32), np.array(done_hi, np.uint32))
+        if done:
+            row, lo, hi, which = zip(*done, strict=True)
+            row = np.array(row, np.uint64)
+            made += deal(STARTS, by_row(self.n_parts, row), self.n_parts, row, np.array(lo, np.uint32), np.array(hi, np.uint32), np.array(which, np.uint8))
         self.rows, self.bytes = [], 0
         return made
 
@@ -299,18 +310,19 @@ def _front_coded(run: list) -> bytes:
     )
 
 
-def _send(n_parts: int, size: int):
-    lead = size - size // 2 + 1
+def _send(n_parts: int, sizes: list[int]):
+    least, most = sizes[0], sizes[-1]
+    lead = least - least // 2 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Suffixes(n_parts)
+        held = Suffixes(n_parts, sizes)
         for batch in batches:
             rows = np.array(batch.column(0)).view(np.uint64)
             places = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(2)]
             hots = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(3)]
             for i, j, t in T.slices(T.texts(batch.column(1))):
                 pre = T.byte_prefix(t.data)
-                doc, p, far, near = anchors(t, pre, size)
+                doc, p, far, near = anchors(t, pre, least)
                 kept, hot = [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
                 for k, (x, f) in enumerate(zip(places[i:j], hots[i:j], strict=True)):
                     if COPY not in x[:2] or FIRST in x[:1]:
@@ -325,20 +337,24 @@ def _send(n_parts: int, size: int):
                 key = T.range_hash(pre, p, p + lead)
                 cold = slot[hot == 0]
                 for d, a, f, c, k in zip(doc[cold].tolist(), p[cold].tolist(), far[cold].tolist(), near[cold].tolist(), key[cold].tolist(), strict=True):
-                    held.add(k % n_parts, raw[a : a + size - c], raw[a - f : a], c, int(rows[i + d]), a - int(t.offs[d]), k)
+                    held.add(k % n_parts, raw[a : min(a + most - c, int(t.offs[d + 1]))], raw[a - f : a], c, int(rows[i + d]), a - int(t.offs[d]), k)
                 made: list[tuple[int, bytes]] = []
                 warm = slot[hot > 0]
                 if len(warm):
                     count = far[warm] - near[warm] + 1
                     which = np.repeat(np.arange(len(warm)), count)
                     q = np.repeat(p[warm] - far[warm] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-                    window = T.range_hash(pre, q, q + size)
-                    row, place = rows[i + doc[warm]][which], (q - t.offs[doc[warm]][which]).astype(np.uint32)
-                    order, first, times = _runs_of(window)
-                    twice = order[np.repeat(times > 1, times)]
-                    made += deal(STARTS, by_row(n_parts, row[twice]), n_parts, row[twice], place[twice], place[twice])
-                    one = order[first]
-                    made += deal(WINDOW, (window[one] % np.uint64(n_parts)).astype(np.int64), n_parts, window[one], row[one], place[one], (times > 1).astype(np.uint8))
+                    end = t.offs[1:][doc[warm]][which]
+                    for w, size in enumerate(sizes):
+                        fits = np.flatnonzero(q + size <= end)
+                        own, of = q[fits], which[fits]
+                        window = T.range_hash(pre, own, own + size)
+                        row, place = rows[i + doc[warm]][of], (own - t.offs[doc[warm]][of]).astype(np.uint32)
+                        order, first, times = _runs_of(window)
+                        twice = order[np.repeat(times > 1, times)]
+                        made += deal(STARTS, by_row(n_parts, row[twice]), n_parts, row[twice], place[twice], place[twice], np.full(len(twice), w, np.uint8))
+                        one = order[first]
+                        made += deal(WINDOW, (window[one] % np.uint64(n_parts)).astype(np.int64), n_parts, window[one], row[one], place[one], ((times > 1) + 2 * w).astype(np.uint8))
                 if held.bytes > RUN_BYTES:
                     made += held.flush()
                 if made:
@@ -411,8 +427,8 @@ def _decode(lcp: np.ndarray, length: np.ndarray, tails: bytes, base: int) -> Ite
         yield s, h, base + k
 
 
-def decide(runs: list[list[np.ndarray]], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and places of the repeated windows among the suffixes of some runs."""
+def decide(runs: list[list[np.ndarray]], sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size its number, and rows and places of the repeated windows among the suffixes of some runs."""
     base, total = [], 0
     for x in runs:
         base.append(total)
@@ -433,81 +449,90 @@ def decide(runs: list[list[np.ndarray]], size: int) -> tuple[np.ndarray, np.ndar
     for k, (h, _, payload) in enumerate(tree):
         order[k], lcp[k] = payload, h
     near = np.concatenate(near).astype(np.int64)[order]
+    length = np.concatenate([x[1] for x in runs]).astype(np.int64)[order]
     rows, place = np.concatenate(rows)[order], np.concatenate(place).astype(np.int64)[order]
     before = [before[k] for k in order.tolist()]
     far = np.array([len(x) for x in before], np.int64)
     end = np.cumsum(far)
     pre = T.byte_prefix(np.frombuffer(b"".join(before), np.uint8))
     index = np.arange(total)
-    out_row, out_place = [], []
-    for gap in range(size // 2):
-        own = np.flatnonzero((near <= gap) & (gap <= far))
-        if len(own) < 2:
-            continue
-        # suffixes that agree in the window's rest lie side by side
-        rest = np.maximum.accumulate(np.where(lcp < size - gap, index, 0))[own]
-        key = T.mix(rest.astype(np.uint64) * _K + T.range_hash(pre, end[own] - gap, end[own]))
-        twice = own[T.repeated(key)]
-        out_row.append(rows[twice])
-        out_place.append(place[twice] - gap)
-    if not out_row:
-        return rows[:0], place[:0]
-    return np.concatenate(out_row), np.concatenate(out_place)
-
-
-def _starts(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places as runs: row, first, last."""
+    for w, size in enumerate(sizes):
+        out_row, out_place = [rows[:0]], [place[:0]]
+        for gap in range(sizes[0] // 2):
+            own = np.flatnonzero((near <= gap) & (gap <= far) & (length >= size - gap))
+            if len(own) < 2:
+                continue
+            # suffixes that agree in the window's rest lie side by side
+            rest = np.maximum.accumulate(np.where(lcp < size - gap, index, 0))[own]
+            key = T.mix(rest.astype(np.uint64) * _K + T.range_hash(pre, end[own] - gap, end[own]))
+            twice = own[T.repeated(key)]
+            out_row.append(rows[twice])
+            out_place.append(place[twice] - gap)
+        yield w, np.concatenate(out_row), np.concatenate(out_place)
+
+
+def _starts(row: np.ndarray, place: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places as runs: row, first, last, and which size."""
     order = np.lexsort((place, row))
     row, place = row[order], place[order]
     new = np.append(True, (row[1:] != row[:-1]) | (place[1:] > place[:-1] + 1)) if len(row) else np.zeros(0, bool)
     first = np.flatnonzero(new)
-    return row[first], place[first], place[np.append(first[1:], len(row)) - 1] if len(first) else place
+    last = place[np.append(first[1:], len(row)) - 1] if len(first) else place
+    return row[first], place[first], last, np.full(len(first), which, np.uint8)
 
 
-def _merge(n_parts: int, size: int):
+def _merge(n_parts: int, sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list[list[np.ndarray]]] = {RUN: [], WINDOW: [], STARTS: []}
         for batch in batches:
             for raw in batch.column(1):
                 kind, x = unpack(raw.as_py(), _KINDS)
                 got[kind].append(x)
-        found = [(x[0], x[1].astype(np.int64), x[2].astype(np.int64)) for x in got[STARTS]]
+        found = [(x[0], x[1].astype(np.int64), x[2].astype(np.int64), x[3]) for x in got[STARTS]]
         if got[RUN]:
-            found.append(_starts(*decide(got[RUN], size)))
+            for w, row, place in decide(got[RUN], sizes):
+                found.append(_starts(row, place, w))
         if got[WINDOW]:
             key, row, place, many = (np.concatenate([x[k] for x in got[WINDOW]]) for k in range(4))
             order, first, times = _runs_of(key)
-            twice = order[np.repeat((times > 1) | (np.maximum.reduceat(many[order], first) > 0), times)]
-            found.append(_starts(row[twice], place[twice].astype(np.int64)))
+            twice = order[np.repeat((times > 1) | (np.bitwise_or.reduceat(many[order] & 1, first) > 0), times)]
+            for w in range(len(sizes)):  # windows of different sizes have different hashes
+                own = twice[many[twice] >> 1 == w]
+                found.append(_starts(row[own], place[own].astype(np.int64), w))
         if found:
-            row, lo, hi = (np.concatenate([x[k] for x in found]) for k in range(3))
+            row, lo, hi, which = (np.concatenate([x[k] for x in found]) for k in range(4))
             if len(row):
-                yield batch_of(list(deal(STARTS, by_row(n_parts, row), n_parts, row, lo.astype(np.uint32), hi.astype(np.uint32))))
+                yield batch_of(list(deal(STARTS, by_row(n_parts, row), n_parts, row, lo.astype(np.uint32), hi.astype(np.uint32), which.astype(np.uint8))))
 
     return run
 
 
-def _spans(size: int):
-    """Rows (row, spans) of one partition: maximal covered ranges, as pairs of 64-bit integers."""
+def _spans(sizes: list[int]):
+    """Rows (row, one list of spans for each size) of one partition: maximal covered ranges, as pairs of 64-bit integers."""
+
+    def merged(lo: np.ndarray, hi: np.ndarray) -> bytes:
+        order = np.argsort(lo, kind="stable")
+        x, y = lo[order], np.maximum.accumulate(hi[order])
+        start = np.flatnonzero(np.append(True, x[1:] > y[:-1])) if len(x) else np.empty(0, np.int64)
+        return np.stack([x[start], y[np.append(start[1:], len(x)) - 1]], axis=1).tobytes() if len(x) else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [unpack(raw.as_py(), _KINDS)[1] for batch in batches for raw in batch.column(1)]
         if not found:
             return
-        row, lo, hi = (np.concatenate([x[k] for x in found]) for k in range(3))
-        lo, hi = lo.astype(np.int64), hi.astype(np.int64) + size
-        order = np.lexsort((lo, row))
-        row, lo, hi = row[order], lo[order], hi[order]
+        row, lo, hi, which = (np.concatenate([x[k] for x in found]) for k in range(4))
+        lo, hi = lo.astype(np.int64), hi.astype(np.int64) + np.array(sizes, np.int64)[which]
+        order = np.lexsort((which, row))
+        row, lo, hi, which = row[order], lo[order], hi[order], which[order]
         first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         cut = np.append(first, len(row)).tolist()
-        blobs = []
+        blobs: list[list[bytes]] = [[] for _ in sizes]
         for a, b in zip(cut, cut[1:], strict=False):
-            x, y = lo[a:b], np.maximum.accumulate(hi[a:b])
-            new = np.append(True, x[1:] > y[:-1])
-            start = np.flatnonzero(new)
-            blobs.append(np.stack([x[start], y[np.append(start[1:], b - a) - 1]], axis=1).tobytes())
+            edge = np.searchsorted(which[a:b], np.arange(len(sizes) + 1)) + a
+            for k in range(len(sizes)):
+                blobs[k].append(merged(lo[edge[k] : edge[k + 1]], hi[edge[k] : edge[k + 1]]))
         for i in range(0, len(first), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(row[first[i : i + 4096]].view(np.int64)), pa.array(blobs[i : i + 4096], pa.binary())], names=["row", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(row[first[i : i + 4096]].view(np.int64)), *(pa.array(x[i : i + 4096], pa.binary()) for x in blobs)], names=["row", *(f"spans{k}" for k in range(len(sizes)))])
 
     return run
 
@@ -517,29 +542,36 @@ def _named(df: DataFrame, id_col: str, text_col: str):
     return text, F.xxhash64(df[id_col].cast("string"), text)
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """(row, spans), and (row) of the texts that repeat another one as a whole; row is a hash of id and text."""
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, ...] = (SIZE,)) -> DataFrame:
+    """(row, whole, spans0, spans1 ...) of the texts that repeat something: for each size, in rising order, the covered spans; whole: the text occurs twice. row is a hash of id and text."""
     spark = df.sparkSession
     n_parts = T.parts(spark)
+    sizes = sorted(set(sizes))
     text, row = _named(df, id_col, text_col)
-    docs = df.where(F.octet_length(text) >= size).select(row.alias("row"), text.alias("text"))
-    marks = docs.mapInArrow(_fingerprints(n_parts, size), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(_remaining(n_parts), SCHEMA)
+    docs = df.where(F.octet_length(text) >= sizes[0]).select(row.alias("row"), text.alias("text"))
+    marks = docs.mapInArrow(_fingerprints(n_parts, sizes[0]), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(_remaining(n_parts), SCHEMA)
     places = T.stored(marks.repartitionById(n_parts, F.col("part")).mapInArrow(_places, "row bigint, places binary, hot binary"), "places")
     some = docs.join(places, "row").select("row", "text", "places", "hot")
-    runs = some.mapInArrow(_send(n_parts, size), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(_merge(n_parts, size), SCHEMA)
-    spans = T.stored(runs.repartitionById(n_parts, F.col("part")).mapInArrow(_spans(size), "row bigint, spans binary"), "spans")
+    runs = some.mapInArrow(_send(n_parts, sizes), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(_merge(n_parts, sizes), SCHEMA)
+    names = [f"spans{k}" for k in range(len(sizes))]
+    spans = T.stored(runs.repartitionById(n_parts, F.col("part")).mapInArrow(_spans(sizes), ", ".join(["row bigint", *(f"{n} binary" for n in names)])), "spans")
     little = lambda n: F.lit(np.array([n], np.int32).tobytes())
     head = F.substring(F.col("places"), 1, 4)
-    return spans, places.where((head == little(COPY)) | (head == little(FIRST))).select("row")
+    whole = places.where((head == little(COPY)) | (head == little(FIRST))).select(F.col("row").alias("__w"))
+    every = T.stored(spans.join(whole, F.col("row") == F.col("__w"), "full").select(F.coalesce("row", "__w").alias("row"), F.col("__w").isNotNull().alias("whole"), *names), "repeats")
+    T.discard(places, spans)
+    return every
 
 
-def _applied(df: DataFrame, columns: list[str], schema: str, make, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Rows of df with what make(bytes, spans) gives; spans is an array of (start, end)."""
-    spans, whole = repeated_spans(df, id_col, text_col, size)
+def _applied(df: DataFrame, columns: list[str], schema: str, make, id_col: str, text_col: str, sizes: tuple[int, ...]) -> DataFrame:
+    """Rows of df with what make(bytes, spans by size) gives; spans is an array of (start, end)."""
+    sizes = tuple(sorted(set(sizes)))
+    found = repeated_spans(df, id_col, text_col, sizes)
+    names = [f"spans{k}" for k in range(len(sizes))]
     text, row = _named(df, id_col, text_col)
     kept = df.select(*[df[c] for c in columns], text.alias("__text"), row.alias("__row"))
-    every = spans.withColumnRenamed("row", "__r").join(whole.withColumn("__whole", F.lit(True)).withColumnRenamed("row", "__w"), F.col("__r") == F.col("__w"), "full").select(F.coalesce("__r", "__w").alias("__key"), F.col("spans").alias("__spans"), "__whole")
-    joined = kept.join(every, F.col("__row") == F.col("__key"), "left").select(*columns, "__text", "__spans", "__whole")
+    every = found.select(F.col("row").alias("__key"), F.col("whole").alias("__whole"), *(F.col(n).alias(f"__{n}") for n in names))
+    joined = kept.join(every, F.col("__row") == F.col("__key"), "left").select(*columns, "__text", "__whole", *(f"__{n}" for n in names))
     n = len(columns)
     head = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in columns)
 
@@ -547,12 +579,14 @@ def _applied(df: DataFrame, columns: list[str], schema: str, make, id_col: str,
         for batch in batches:
             t = T.texts(batch.column(n))
             made = []
-            for k, (blob, all_) in enumerate(zip(batch.column(n + 1), batch.column(n + 2), strict=True)):
+            for k, all_ in enumerate(batch.column(n + 1)):
                 raw = t.raw(k)
-                if all_.as_py():
-                    cut = np.array([[0, len(raw)]], np.int64)
-                else:
-                    cut = np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 2) if blob.is_valid else np.zeros((0, 2), np.int64)
+                cut = {}
+                for size, blob in zip(sizes, (batch.column(n + 2 + w)[k] for w in range(len(sizes))), strict=True):
+                    if all_.as_py():
+                        cut[size] = np.array([[0, len(raw)]] if len(raw) >= size else [], np.int64).reshape(-1, 2)
+                    else:
+                        cut[size] = np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 2) if blob.is_valid else np.zeros((0, 2), np.int64)
                 made.append(make(raw, cut))
             if made:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c) for c in zip(*made, strict=True))], names=[*columns, *(x.split()[0] for x in schema.split(", "))])
@@ -569,17 +603,40 @@ def kept_bytes(raw: bytes, spans: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """Per row: n_bytes, n_removed, n_spans, kept_sha256."""
+def passages(raw: bytes, spans: np.ndarray, words: int) -> tuple[int, np.ndarray]:
+    """Words in the spans that hold more than so many of them, and those spans."""
+    count = [len(raw[a:b].split()) for a, b in spans.tolist()]
+    return sum(c for c in count if c > words), spans[np.array(count, np.int64) > words]
 
-    def make(raw: bytes, spans: np.ndarray) -> tuple:
-        return len(raw), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept_bytes(raw, spans)).hexdigest()
 
-    return _applied(df, [id_col], "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", make, id_col, text_col, size)
+def joined_spans(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spans that cover what either list covers."""
+    out: list[list[int]] = []
+    for x, y in sorted([*a.tolist(), *b.tolist()]):
+        if out and x <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], y)
+        else:
+            out.append([x, y])
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """df with its repeated strings cut out of the text; a character of which a part is cut out goes as a whole."""
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, passage: int = PASSAGE_BYTES, words: int = PASSAGE_WORDS) -> DataFrame:
+    """Per row: n_bytes, n_removed, n_spans, kept_sha256 of the strings of `size` bytes, and n_passage_words: the words in repeated passages, which are told but not removed."""
+
+    def make(raw: bytes, spans: dict[int, np.ndarray]) -> tuple:
+        cut = spans[size]
+        return len(raw), int((cut[:, 1] - cut[:, 0]).sum()), len(cut), hashlib.sha256(kept_bytes(raw, cut)).hexdigest(), passages(raw, spans[passage], words)[0]
+
+    return _applied(df, [id_col], "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passage_words bigint", make, id_col, text_col, (size, passage))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, passage: int | None = None, words: int = PASSAGE_WORDS) -> DataFrame:
+    """df with its repeated strings of `size` bytes cut out of the text, and with `passage` its repeated passages too; a character of which a part is cut out goes as a whole."""
     others = [c for c in df.columns if c != text_col]
-    made = _applied(df, others, "__kept string", lambda raw, spans: (kept_bytes(raw, spans).decode("utf-8", "ignore"),), id_col, text_col, size)
+
+    def make(raw: bytes, spans: dict[int, np.ndarray]) -> tuple:
+        cut = spans[size] if passage is None else joined_spans(spans[size], passages(raw, spans[passage], words)[1])
+        return (kept_bytes(raw, cut).decode("utf-8", "ignore"),)
+
+    made = _applied(df, others, "__kept string", make, id_col, text_col, (size,) if passage is None else (size, passage))
     return made.select(*[F.col("__kept").alias(text_col) if c == text_col else F.col(c) for c in df.columns])

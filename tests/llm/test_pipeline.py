@@ -12,23 +12,19 @@ from foliograph.llm.queries import read_tokenizer, tokenizer_path
 
 from .test_pairs import brute_classes
 from .test_rows import ALNUM, lower
-from .test_suffixes import brute as brute_spans
+from .test_suffixes import brute as brute_spans, covered, runs_of
 
 SF = "/root/testdata/sf0.001"
 
 
-def cut(rows, size):
-    seen = {}
+def cut(rows):
+    """Without repeated strings of 400 bytes and runs of over 50 words of repeated strings of 240 bytes."""
     raws = [t.encode() for _, t in rows]
-    for raw in raws:
-        for k in range(len(raw) - size + 1):
-            seen[raw[k : k + size]] = seen.get(raw[k : k + size], 0) + 1
     out = []
-    for (i, _), raw in zip(rows, raws, strict=True):
-        gone = bytearray(len(raw))
-        for k in range(len(raw) - size + 1):
-            if seen[raw[k : k + size]] > 1:
-                gone[k : k + size] = b"\x01" * size
+    for (i, _), raw, gone, low in zip(rows, raws, covered(raws, 400), covered(raws, 240), strict=True):
+        for a, b in runs_of(low):
+            if len(raw[a:b].split()) > 50:
+                gone[a:b] = b"\x01" * (b - a)
         out.append((i, bytes(b for b, g in zip(raw, gone, strict=True) if not g).decode("utf-8", "ignore")))
     return out
 
@@ -42,7 +38,7 @@ def test_pipeline(spark):
     score = toxicity.score_texts(textops.texts(pa.array([t for _, t in rows])), model.bits, model.dense(), model.bias)
     rows = [r for r, s in zip(rows, score, strict=True) if s < 0.3]
     rows = [r for r, c in zip(rows, sorted(brute_classes(rows)), strict=True) if c[2] == r[0]]
-    rows = cut(rows, 400)
+    rows = cut(rows)
     windows = set()
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
         ws = ALNUM.findall(lower(r.text or ""))
@@ -86,4 +82,4 @@ def test_held_out_rows_are_not_learnt_from(spark):
     used = labelled.sample(docs, labels, "toxic", 4, 2)
     assert len(used) == sum(1 for r in labels.collect() if r.doc_id not in held)
     assert all(texts[t] not in held or sum(t == x for x in texts) > 0 for t, _ in used)
-    assert brute_spans([(1, "a")], 400)[0][2] == 0
+    assert brute_spans([(1, "a")], 400, 240, 50)[0][2] == 0

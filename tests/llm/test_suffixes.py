@@ -10,22 +10,36 @@ from foliograph.llm import suffixdedup
 SF = "/root/testdata/sf0.01"
 
 
-def brute(rows, size):
+def covered(raws, size):
+    """For each text which bytes some repeated string of this size covers."""
     seen = {}
-    raws = [(t or "").encode() for _, t in rows]
     for raw in raws:
         for k in range(len(raw) - size + 1):
             w = raw[k : k + size]
             seen[w] = seen.get(w, 0) + 1
     out = []
-    for (i, _), raw in zip(rows, raws, strict=True):
+    for raw in raws:
         gone = bytearray(len(raw))
         for k in range(len(raw) - size + 1):
             if seen[raw[k : k + size]] > 1:
                 gone[k : k + size] = b"\x01" * size
+        out.append(gone)
+    return out
+
+
+def runs_of(gone):
+    starts = [k for k in range(len(gone)) if gone[k] and not (k and gone[k - 1])]
+    ends = [k + 1 for k in range(len(gone)) if gone[k] and not (k + 1 < len(gone) and gone[k + 1])]
+    return list(zip(starts, ends, strict=True))
+
+
+def brute(rows, size, passage, words):
+    raws = [(t or "").encode() for _, t in rows]
+    out = []
+    for (i, _), raw, gone, low in zip(rows, raws, covered(raws, size), covered(raws, passage), strict=True):
         kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
-        spans = sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1]))
-        out.append((i, len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        counts = [len(raw[a:b].split()) for a, b in runs_of(low)]
+        out.append((i, len(raw), sum(gone), len(runs_of(gone)), hashlib.sha256(kept).hexdigest(), sum(c for c in counts if c > words)))
     return sorted(out, key=repr)
 
 
@@ -59,7 +73,8 @@ def test_repeated_strings(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(suffixdedup, "HOT", hot)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, row string, spans int").repartition(4)
-    assert rows_of(suffixdedup.digests(df, size=40)) == brute(rows, 40)
+    for passage, words in ((24, 4), (40, 6), (60, 0)):
+        assert rows_of(suffixdedup.digests(df, size=40, passage=passage, words=words)) == brute(rows, 40, passage, words)
 
 
 def test_repeated_strings_in_blocks(spark, monkeypatch):
@@ -67,13 +82,13 @@ def test_repeated_strings_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(suffixdedup, name, value)
     rows = corpus(8, 200)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    assert rows_of(suffixdedup.digests(df, size=40)) == brute(rows, 40)
+    assert rows_of(suffixdedup.digests(df, size=40, passage=24, words=4)) == brute(rows, 40, 24, 4)
 
 
 def test_documents(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
-    assert rows_of(suffixdedup.digests(df)) == brute(rows, 400)
+    assert rows_of(suffixdedup.digests(df)) == brute(rows, 400, 240, 50)
 
 
 def test_deduplicated_keeps_columns(spark):
