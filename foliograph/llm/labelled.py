@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textops as T
+
 #: Most labelled rows that a classifier is fitted on, and most characters of them: what the driver holds is bounded.
 MAX_ROWS = 12_000
 MAX_CHARS = 24_000_000
@@ -16,10 +18,17 @@ def remainder(id_col: Column, modulus: int) -> Column:
 
 
 def sample(df: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_out: int, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> list[tuple[str, int]]:
-    """(text, label) of at most max_rows labelled rows that are not held out, in a fixed order.
+    """(text, label) of at most max_rows labelled documents that are not held out, in a fixed order.
+
+    Documents are taken by a hash of their id, each class up to half the bound; the
+    ids are bounded and therefore broadcast, so that no other text is shuffled.
 
-    Rows are taken by a hash of their id, each class up to half the bound; the
-    ids are bounded and therefore broadcast, so that no text is shuffled.
+    Defined results: of rows with one id the smallest text counts, so that an id is
+    one document however often it occurs; null texts are empty; an id with both
+    labels counts for both; a text that does not fit into what is left of max_chars
+    is passed over; null ids, other labels and ids without a row are not taken; with
+    empty tables the sample is empty. The driver holds max_rows ids and lengths, and
+    max_chars characters, at most.
     """
     half = max_rows // 2
     named = labels.select(labels[id_col].alias("__id"), labels[label_col].cast("int").alias("__label")).where(F.col("__id").isNotNull() & F.col("__label").isin(0, 1) & (remainder(F.col("__id"), modulus) != held_out)).distinct()
@@ -28,21 +37,21 @@ def sample(df: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_
     for value in (0, 1):
         own = named.where(F.col("__label") == value).orderBy(*order).limit(half)
         picked = own if picked is None else picked.unionByName(own)
-    rows = df.join(F.broadcast(picked), df[id_col] == F.col("__id")).select(F.col("__id"), F.col("__label"), F.coalesce(df[text_col], F.lit("")).alias("__text"))
-    # texts are bounded too: rows in a fixed order until their characters reach the bound
-    sizes = rows.select("__id", "__label", F.length("__text").alias("n")).collect()
+    picked = picked.groupBy("__id").agg(F.min("__label").alias("low"), F.max("__label").alias("high"))
+    rows = df.join(F.broadcast(picked), df[id_col] == F.col("__id")).select("__id", "low", "high", F.coalesce(df[text_col], F.lit("")).alias("__text"))
+    texts = T.stored(rows.groupBy("__id", "low", "high").agg(F.min("__text").alias("__text")), "labelled")
+    sizes = texts.select("__id", F.length("__text").alias("n")).collect()
     sizes.sort(key=lambda r: (hash_of(r[0]), r[0]))
     total, ids = 0, []
     for r in sizes:
-        if total + r[2] > max_chars and ids:
-            continue
-        total += r[2]
-        ids.append(r[0])
-    spark = df.sparkSession
-    wanted = spark.createDataFrame([(i,) for i in ids] or [], f"__want {labels.schema[id_col].dataType.simpleString()}")
-    got = rows.join(F.broadcast(wanted), F.col("__id") == F.col("__want")).select("__id", "__text", "__label").collect()
-    got.sort(key=lambda r: (hash_of(r[0]), r[0], r[2], r[1]))
-    return [(r[1], r[2]) for r in got]
+        if total + r[1] <= max_chars:
+            total += r[1]
+            ids.append(r[0])
+    wanted = df.sparkSession.createDataFrame([(i,) for i in ids], f"__want {labels.schema[id_col].dataType.simpleString()}")
+    got = texts.join(F.broadcast(wanted), F.col("__id") == F.col("__want")).select("__id", "__text", "low", "high").collect()
+    T.discard(texts)
+    got.sort(key=lambda r: (hash_of(r[0]), r[0]))
+    return [(r[1], label) for r in got for label in range(r[2], r[3] + 1)]
 
 
 def hash_of(i: object) -> int:

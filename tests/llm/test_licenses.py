@@ -18,6 +18,10 @@ def one_of(kind, x, rng):
             return chr(x)
         case "RANGE":
             return chr(rng.randint(*x))
+        case "CATEGORY" if "NOT_SPACE" in str(x):
+            return rng.choice("xyz")
+        case "CATEGORY" if "NOT_WORD" in str(x):
+            return rng.choice('"*')
         case "CATEGORY":
             return rng.choice([" ", "\n", "\t", "\r\n", "  "])
         case _:
@@ -90,3 +94,35 @@ def test_spdx_identifiers():
     own = ["MIT", "Apache-2.0", "BSD-3-Clause", "MPL-2.0", "MIT-0", "(MIT OR Apache-2.0) AND BSD-2-Clause", "GPL-2.0-only WITH Classpath-exception-2.0", "MITNFA"]
     got = scan([f"// SPDX-License-Identifier: {x}\nint x;" for x in own])
     assert got["labels"].to_pylist() == ["mit", "apache-2.0", "bsd-3", "mpl-2.0", "mit-0", "apache-2.0,bsd-2,mit", "gpl-2", ""]
+
+
+def plain(found):
+    taken = []
+    for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
+        if not any(t.start <= d.start and d.end <= t.end for t in taken):
+            taken.append(d)
+    return sorted(taken, key=lambda d: (d.start, d.end))
+
+
+def test_containment_against_all_pairs():
+    rng = random.Random(9)
+    for _ in range(200):
+        found = [licenses.Detection(rng.choice("abc"), a, a + rng.randint(1, 12), rng.choice([10, 20, 20, 30]), 0.5) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 25)))]
+        assert licenses.resolve(found) == plain(found)
+
+
+def test_many_mentions_in_one_text():
+    got = scan(["the mit license, " * 60_000])
+    assert got["labels"].to_pylist() == ["mit"] and len(got["detections"][0]) == 60_000
+
+
+def test_labels_and_score_without_gate():
+    """labels and score of whole texts, from all rules and the base phrases, with no gate."""
+    own = [None, "", "Use, modify.", "General public license. ALL rights reserved!", "cc by", "SPDX-License-Identifier: MIT\nPermission is hereby granted, free of charge, to any person obtaining a copy", "This is free and unencumbered software released into the public domain."]
+    got = scan(own)
+    for text, labels, score in zip(own, got["labels"].to_pylist(), got["score"].to_pylist(), strict=True):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+        base = {label for phrase, label in licenses.BASE.items() if any(words[k : k + len(phrase.split())] == phrase.split() for k in range(len(words)))}
+        found = licenses.detect(lower(text or ""), licenses.rules())
+        assert labels == ",".join(sorted(base | {x.label for x in found}))
+        assert score == max([0.5 * bool(base), *(x.relevance for x in found)])
