@@ -439,11 +439,13 @@ def bbox_union_all(spark, sf):
     return f.unionByName(X.detections(spark, sf).select(F.lit("detected").alias("kind"), F.col("event_id").alias("id"), "x0", "y0", "x1", "y1"))
 
 
-# -- page kernels on drawn forms: no SQL says the same
+# -- page kernels on drawn forms: SQL says what was drawn, and each query whether that was found
 
 
 #: Drawn pages in one task at most, on average: an image has about 4 MB.
 TASK_PAGES = 8
+#: Pixels by which a measured place may differ from the one drawn.
+NEAR = 6
 
 
 def drawn(spark: SparkSession, sf: str) -> DataFrame:
@@ -452,53 +454,87 @@ def drawn(spark: SparkSession, sf: str) -> DataFrame:
     return D.drawn_pages(ids.repartition(max(1, -(-ids.count() // TASK_PAGES))), "page_id")
 
 
-@query()
-def normalize_synthetic(spark, sf):
-    return N.summary(N.normalize(drawn(spark, sf), [D.template()])).select("document_id", "warp_method", "orientation_degrees", "n_checkbox", "n_handwriting", F.round("alignment_confidence", 2).alias("confidence"))
-
-
-@query()
-def field_crops_synthetic(spark, sf):
-    return N.field_crops(N.normalize(drawn(spark, sf), [D.template()])).select("document_id", "field_id", "field_type", "x0", "y0", "x1", "y1", F.round("quality", 4).alias("quality"))
-
-
 def _measured(pages: DataFrame, schema: str, measure: Callable) -> DataFrame:
-    """Rows that measure(image) gives, for each page."""
+    """Rows that measure(image, number of the page) gives, for each page."""
+    names = ["document_id", *[c.split()[0] for c in schema.split(", ")]]
 
     def run(frames):
         for frame in frames:
-            for r in frame.itertuples(index=False):
-                a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
-                rows = [(r.document_id, *x) for x in measure(a)]
-                yield pd.DataFrame(rows, columns=["document_id", *[c.split()[0] for c in schema.split(", ")]])
+            for name, h, w, channels, data in zip(*(frame[c] for c in ("document_id", "height", "width", "channels", "data")), strict=True):
+                rows = measure(np.frombuffer(data, np.uint8).reshape(h, w, channels), int(name.removeprefix("page")))
+                yield pd.DataFrame([(name, *x) for x in rows], columns=names)
 
     return pages.mapInPandas(run, f"document_id string, {schema}")
 
 
-@query()
+DRAWN_DEGREES = "CASE WHEN page_id % 2 = 1 THEN 180 ELSE 0 END"
+
+
+@query(f"SELECT 'page' || page_id AS document_id, 'page-quad' AS warp_method, {DRAWN_DEGREES} AS orientation_degrees, 124::BIGINT AS n_checkbox, 9::BIGINT AS n_handwriting, true AS sure FROM pages")
+def normalize_synthetic(spark, sf):
+    found = N.summary(N.normalize(drawn(spark, sf), [D.template()]))
+    return found.select("document_id", "warp_method", "orientation_degrees", F.col("n_checkbox").cast("bigint").alias("n_checkbox"), F.col("n_handwriting").cast("bigint").alias("n_handwriting"), (F.col("alignment_confidence") > 0.2).alias("sure"))
+
+
+@query("""
+SELECT 'page' || page_id AS document_id, field_id, field_type, x - 2 AS x0, y - 2 AS y0, x + wide + 2 AS x1, y + 16 AS y1, true AS near
+FROM pages, (
+  SELECT 'c' || k AS field_id, 'checkbox' AS field_type, 100 + 240 * (k // 31) AS x, 100 + 22 * (k % 31) AS y, 14 AS wide FROM range(124) t(k)
+  UNION ALL SELECT 'h' || k, 'handwriting_box', 60 + 300 * (k % 3), 790 + 18 * (k // 3), 250 FROM range(9) t(k))
+""")
+def field_crops_synthetic(spark, sf):
+    template = D.template()
+    boxes = spark.createDataFrame([(f["field_id"], *K.pixel_box(f["bbox"], D.W, D.H, f["pad"])) for f in template["fields"]], "field_id string, a bigint, b bigint, c bigint, d bigint")
+    found = N.field_crops(N.normalize(drawn(spark, sf), [template])).join(F.broadcast(boxes), "field_id")
+    near = F.greatest(*(F.abs(F.col(x) - F.col(y)) for x, y in zip(("x0", "y0", "x1", "y1"), "abcd", strict=True))) <= NEAR
+    return found.select("document_id", "field_id", "field_type", F.col("a").alias("x0"), F.col("b").alias("y0"), F.col("c").alias("x1"), F.col("d").alias("y1"), near.alias("near"))
+
+
+@query("""
+WITH seen AS (
+  SELECT page_id, corner, page_id % 2 = 1 AS turned, 0.08 + 0.01 * (page_id % 3) AS tilt, CASE WHEN page_id % 2 = 1 THEN (corner + 2) % 4 ELSE corner END AS k
+  FROM pages, range(4) t(corner)
+), flat AS (
+  SELECT *, 1024 * (CASE k WHEN 0 THEN tilt - 0.5 WHEN 1 THEN 0.5 - tilt WHEN 2 THEN 0.5 ELSE -0.5 END) AS a, 860 * (CASE WHEN k < 2 THEN -0.5 ELSE 0.5 END) AS b FROM seen
+), placed AS (
+  SELECT *, a * cos(0.008) - b * sin(0.008) + 1024 * 0.62 AS x, a * sin(0.008) + b * cos(0.008) + 860 * 0.62 AS y FROM flat
+)
+SELECT 'page' || page_id AS document_id, corner::INT AS corner, 'page-quad' AS method,
+  round(CASE WHEN turned THEN 1268 - x ELSE x END)::BIGINT AS x, round(CASE WHEN turned THEN 1065 - y ELSE y END)::BIGINT AS y, true AS near
+FROM placed
+""")
 def detect_quad_synthetic(spark, sf):
-    def measure(a):
-        quad, method, confidence = K.detect_quad(a)
-        return [(k, float(x), float(y), method, round(confidence, 4)) for k, (x, y) in enumerate(quad)]
+    def measure(a, number):
+        quad, method, _ = K.detect_quad(a)
+        true = D.corners(D.W, D.H, D.tilt_of(number))
+        if number % 2:
+            true = np.roll([a.shape[1] - 1, a.shape[0] - 1] - true, 2, axis=0)
+        return [(k, method, round(t[0]), round(t[1]), bool(np.abs(t - q).max() <= NEAR)) for k, (t, q) in enumerate(zip(true, quad, strict=True))]
 
-    return _measured(drawn(spark, sf), "corner int, x double, y double, method string, confidence double", measure)
+    return _measured(drawn(spark, sf), "corner int, method string, x bigint, y bigint, near boolean", measure)
 
 
-@query()
+@query("SELECT 'page' || page_id AS document_id, 124::BIGINT AS n_fields, true AS enough FROM pages")
 def detect_checkboxes_synthetic(spark, sf):
-    def measure(a):
-        return [tuple(b) for b in K.detect_check_boxes(K.rectify(a, D.W, D.H)[0])]
+    """Whether at least 95 of 100 drawn check boxes have a detection near their centre on the rectified page."""
 
-    return _measured(drawn(spark, sf), "x0 int, y0 int, x1 int, y1 int", measure)
+    def measure(a, number):
+        found = np.array(K.detect_check_boxes(K.rectify(a, D.W, D.H)[0]), float).reshape(-1, 4)
+        there = K.box_table(D.template()) * [D.W, D.H, D.W, D.H]
+        centre = lambda b: (b[:, :2] + b[:, 2:]) / 2
+        hit = (np.abs(centre(there)[:, None] - centre(found)[None]).max(axis=2) <= NEAR).any(axis=1)
+        return [(len(there), bool(hit.mean() >= 0.95))]
 
+    return _measured(drawn(spark, sf), "n_fields bigint, enough boolean", measure)
 
-@query()
+
+@query(f"SELECT 'page' || page_id AS document_id, 1024 AS width, 860 AS height, 'page-quad' AS method, {DRAWN_DEGREES} AS degrees FROM pages")
 def warp_synthetic(spark, sf):
-    def measure(a):
+    def measure(a, number):
         canvas, how = K.rectify(a, D.W, D.H)
-        return [(canvas.shape[1], canvas.shape[0], how["method"], how["orientation_degrees"], round(float(canvas.mean()), 1))]
+        return [(canvas.shape[1], canvas.shape[0], how["method"], how["orientation_degrees"])]
 
-    return _measured(drawn(spark, sf), "width int, height int, method string, degrees int, mean double", measure)
+    return _measured(drawn(spark, sf), "width int, height int, method string, degrees int", measure)
 
 
 @query()

@@ -32,9 +32,8 @@ def test_against_sql(spark, other, name):
     assert got == want
 
 
-@pytest.mark.parametrize(("name", "rows"), [("normalize_synthetic", 5), ("field_crops_synthetic", 665), ("detect_quad_synthetic", 20), ("detect_checkboxes_synthetic", 400), ("warp_synthetic", 5), ("clahe_tile", 1)])
-def test_kernels(spark, name, rows):
-    assert queries.QUERIES[name](spark, SF).count() >= rows
+def test_kernels(spark):
+    assert queries.QUERIES["clahe_tile"](spark, SF).count() >= 1
 
 
 def test_stream(spark, tmp_path):
