@@ -11,8 +11,8 @@ and each distinct stretch of a slice is encoded once.
 Defined results: null and empty texts give only the begin and end ids;
 characters that the model lacks become their UTF-8 byte pieces; repeated rows
 are encoded alike; an empty table gives an empty result; other columns are
-ignored, whatever their names. Memory is bounded by one slice of text and the
-word cache (`CACHE_WORDS` entries).
+ignored, whatever their names. Memory is bounded by one slice of text and two
+caches: `CACHE_BYTES` of short stretches (longer ones are not kept), `CACHE_PAIRS` pairs.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from . import textops as T
 
 MARK = "▁"
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 600_000
+#: Bytes of cached stretches with their ids, what Python adds to each included; the longest stretch that is cached; cached pairs.
+CACHE_BYTES, CACHE_LENGTH, ENTRY_BYTES = 24 << 20, 64, 200
+CACHE_PAIRS = 150_000
 SLICE = 2 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -234,9 +235,11 @@ class Model:
         """Ids of a stretch given as UTF-8 in which a space stands for the mark."""
         found = self.words.get(raw)
         if found is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            found = self.words[raw] = np.array(self.encode_word(raw.decode().replace(" ", MARK)), np.uint32)
+            found = np.array(self.encode_word(raw.decode().replace(" ", MARK)), np.uint32)
+            if len(raw) <= CACHE_LENGTH:
+                if len(self.words) * (ENTRY_BYTES + CACHE_LENGTH) >= CACHE_BYTES:
+                    self.words.clear()
+                self.words[raw] = found
         return found
 
     def encode_slice(self, t: T.Texts) -> tuple[np.ndarray, np.ndarray]:
