@@ -199,7 +199,7 @@ def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
             made = _rows(batch.column(1), [sum(b - a for a, b in x) for x in spans], batch.column(2).to_pylist(), spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.values()], names=[id_col, *made])
 
-    return kept.select(id_col, "n_words", "items", "spans").mapInArrow(merge, f"`{id_col}` {kind}, {SCHEMA}")
+    return kept.select(id_col, "n_words", "items", "spans").mapInArrow(T.tidy(merge), f"`{id_col}` {kind}, {SCHEMA}")
 
 
 def clean(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_patterns: int = MAX_PATTERNS) -> DataFrame:

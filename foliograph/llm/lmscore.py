@@ -322,14 +322,14 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     named = target.select(F.col(target.columns[0]).alias("__target")).where("__target is not null").distinct()
     # sorted and merged at every size: the ids of a corpus' target are too many to send to every task
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(named.hint("merge"), F.col("id") == F.col("__target"), "left").select("id", "text", F.col("__target").isNotNull().alias("target"))
-    chunks = T.stored(docs.mapInArrow(_chunks(chunk_bytes), "chunk bigint, part int, blob binary"), "chunks")
-    asked = chunks.select("chunk", "blob").mapInArrow(_ask(n_parts), "part int, chunk bigint, blob binary").repartitionById(n_parts, F.col("part"))
-    counts = T.stored(asked.mapInArrow(_add(n_parts), "chunk bigint, part int, blob binary, n_all bigint, n_target bigint, n_words bigint"), "counts")
+    chunks = T.stored(docs.mapInArrow(T.tidy(_chunks(chunk_bytes)), "chunk bigint, part int, blob binary"), "chunks")
+    asked = chunks.select("chunk", "blob").mapInArrow(T.tidy(_ask(n_parts)), "part int, chunk bigint, blob binary").repartitionById(n_parts, F.col("part"))
+    counts = T.stored(asked.mapInArrow(T.tidy(_add(n_parts)), "chunk bigint, part int, blob binary, n_all bigint, n_target bigint, n_words bigint"), "counts")
     totals = tuple(x or 0 for x in counts.where("chunk is null").agg(F.sum("n_all"), F.sum("n_target"), F.sum("n_words")).first())
     answers = counts.where("chunk is not null").select("chunk", "part", "blob")
     home = ((F.shiftright("chunk", 24) + F.col("chunk") % (1 << 24) * 7919) % n_parts).cast("int")  # chunks are dealt evenly
     met = chunks.unionByName(answers).repartitionById(n_parts, home).sortWithinPartitions("chunk", "part")
     kind = docs.schema["id"].dataType.simpleString()
-    out = T.stored(met.mapInArrow(_score(totals, k, mu), f"id {kind}, n_tokens bigint, score double"), "scores")
+    out = T.stored(met.mapInArrow(T.tidy(_score(totals, k, mu)), f"id {kind}, n_tokens bigint, score double"), "scores")
     T.discard(chunks, counts)
     return out.withColumnRenamed("id", id_col)

@@ -383,7 +383,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             at = batch.column(2).to_numpy()
             yield batch.select([0, 1]).filter(pa.array((table[at >> 3] >> (at & 7)) & 1 > 0))
 
-    return docs.where("__id is not null").select("__id", "__text", slot("__id").alias("slot")).mapInArrow(run, "__id bigint, __text string")
+    return docs.where("__id is not null").select("__id", "__text", slot("__id").alias("slot")).mapInArrow(T.tidy(run), "__id bigint, __text string")
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -424,7 +424,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
     rows = roles.join(_texts_of(docs, roles.select("id")), F.col("id") == F.col("__id")).select("a", "chunk", "role", "id", "__text")
-    found = T.stored(rows.repartition(n_parts, "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+    found = T.stored(rows.repartition(n_parts, "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(T.tidy(run), "a bigint, b bigint").distinct(), "links")
     T.discard(roles)
     return found
 
@@ -479,8 +479,8 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     docs = df.select(df[id_col].cast("bigint").alias("__id"), df[text_col].alias("__text"))
     n_parts = T.parts(spark)
-    index = docs.mapInArrow(_index(n_parts, words, percent), SCHEMA).repartitionById(n_parts, F.col("part"))
-    found = T.stored(index.mapInArrow(_candidates, _ROWS), "candidates")
+    index = docs.mapInArrow(T.tidy(_index(n_parts, words, percent)), SCHEMA).repartitionById(n_parts, F.col("part"))
+    found = T.stored(index.mapInArrow(T.tidy(_candidates), _ROWS), "candidates")
     facts = found.where(f"kind = {FACT}").select("a", "b", "x", "y")
     filled = facts.where("a is not null and b > 0")
     # documents with equal sets stand for one another

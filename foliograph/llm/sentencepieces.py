@@ -31,7 +31,7 @@ MARK = "▁"
 #: Bytes of cached stretches with their ids, what Python adds to each included; the longest stretch that is cached; cached pairs.
 CACHE_BYTES, CACHE_LENGTH, ENTRY_BYTES = 24 << 20, 64, 200
 CACHE_PAIRS = 150_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -384,7 +384,7 @@ def decode(df: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "
             flat = np.array([y for x in ids for y in x], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode() for x in m.decode_slice(flat, offs)], pa.string())], names=[id_col, "decoded"])
 
-    return kept.mapInArrow(run, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, decoded string")
+    return kept.mapInArrow(T.tidy(run), f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, decoded string")
 
 
 def digests(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

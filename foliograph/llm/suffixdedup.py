@@ -549,12 +549,12 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = sorted(set(sizes))
     text, row = _named(df, id_col, text_col)
     docs = df.where(F.octet_length(text) >= sizes[0]).select(row.alias("row"), text.alias("text"))
-    marks = docs.mapInArrow(_fingerprints(n_parts, sizes[0]), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(_remaining(n_parts), SCHEMA)
-    places = T.stored(marks.repartitionById(n_parts, F.col("part")).mapInArrow(_places, "row bigint, places binary, hot binary"), "places")
+    marks = docs.mapInArrow(T.tidy(_fingerprints(n_parts, sizes[0])), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(T.tidy(_remaining(n_parts)), SCHEMA)
+    places = T.stored(marks.repartitionById(n_parts, F.col("part")).mapInArrow(T.tidy(_places), "row bigint, places binary, hot binary"), "places")
     some = docs.join(places, "row").select("row", "text", "places", "hot")
-    runs = some.mapInArrow(_send(n_parts, sizes), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(_merge(n_parts, sizes), SCHEMA)
+    runs = some.mapInArrow(T.tidy(_send(n_parts, sizes)), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(T.tidy(_merge(n_parts, sizes)), SCHEMA)
     names = [f"spans{k}" for k in range(len(sizes))]
-    spans = T.stored(runs.repartitionById(n_parts, F.col("part")).mapInArrow(_spans(sizes), ", ".join(["row bigint", *(f"{n} binary" for n in names)])), "spans")
+    spans = T.stored(runs.repartitionById(n_parts, F.col("part")).mapInArrow(T.tidy(_spans(sizes)), ", ".join(["row bigint", *(f"{n} binary" for n in names)])), "spans")
     little = lambda n: F.lit(np.array([n], np.int32).tobytes())
     head = F.substring(F.col("places"), 1, 4)
     whole = places.where((head == little(COPY)) | (head == little(FIRST))).select(F.col("row").alias("__w"))
@@ -591,7 +591,7 @@ def _applied(df: DataFrame, columns: list[str], schema: str, make, id_col: str,
             if made:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c) for c in zip(*made, strict=True))], names=[*columns, *(x.split()[0] for x in schema.split(", "))])
 
-    return joined.mapInArrow(run, f"{head}, {schema}")
+    return joined.mapInArrow(T.tidy(run), f"{head}, {schema}")
 
 
 def kept_bytes(raw: bytes, spans: np.ndarray) -> bytes:

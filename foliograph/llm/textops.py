@@ -8,6 +8,7 @@ memory nor the interpreter's per-row cost grows with a text's length.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -167,6 +168,21 @@ def covered(at: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(delta[:n]) > 0
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives back what it no longer uses: workers live on, beside other stages' memory."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def per_row(df: DataFrame, columns: list[str], schema: str, make: Callable[[Texts], dict], keep: list[str], most: int = SLICE_BYTES) -> DataFrame:
     """One row out for each row in: `keep` as it is, and the columns that `make` computes from a slice of texts.
 
@@ -184,7 +200,7 @@ def per_row(df: DataFrame, columns: list[str], schema: str, make: Callable[[Text
                 own = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*own.columns[: len(names)], *(x if isinstance(x, pa.Array) else pa.array(x) for x in made.values())], names=[*names, *made])
 
-    return kept.mapInArrow(run, f"{head}, {schema}" if names else schema)
+    return kept.mapInArrow(tidy(run), f"{head}, {schema}" if names else schema)
 
 
 def filter_rows(df: DataFrame, text_col: str, good: Callable[[Texts], np.ndarray]) -> DataFrame:
@@ -196,7 +212,7 @@ def filter_rows(df: DataFrame, text_col: str, good: Callable[[Texts], np.ndarray
             for i, j, t in slices(texts(batch.column(at))):
                 yield batch.slice(i, j - i).filter(pa.array(good(t)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

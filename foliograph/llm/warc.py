@@ -208,7 +208,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         if size:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["archive"])
 
-    archives = rows.mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    archives = rows.mapInArrow(T.tidy(run), "archive binary").select(F.col("archive").cast("string").alias("value"))
     archives.write.option("lineSep", EMPTY_SKIP).option("encoding", "UTF-8").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
@@ -241,7 +241,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(T.tidy(run), SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
