@@ -17,12 +17,18 @@ from foliograph.llm.queries import read_tokenizer, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the threshold."""
+    """Documents whose toxicity score is under the threshold.
+
+    Null and empty texts score the bias alone and stay; rows without an id and repeated rows are judged by their own text; without labels, or with empty tables, nothing is rejected.
+    """
     return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each similarity class: that with the smallest id. Empty texts and rows without an id belong to no class and stay."""
+    """One document of each similarity class: that with the smallest id.
+
+    Empty texts and rows without an id belong to no class and stay; rows with one id are one document and stay or go together; an empty table stays empty.
+    """
     classes = ngramjoin.similarity_classes(docs).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
 
@@ -37,12 +43,18 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs.
+
+    Null and empty texts stay; repeated rows and rows without an id are judged by their own text; an empty benchmark rejects nothing.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of ids, and digests of ids and decoded text."""
+    """Number of ids, and digests of ids and decoded text: a row for each row.
+
+    Null and empty texts give the begin and end ids alone; repeated rows give equal rows; an empty table gives an empty result.
+    """
     return sentencepieces.digests(docs, read_tokenizer())
 
 
@@ -60,9 +72,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is stored, and the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = textops.stored(docs, f"pipeline-{name}")
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = textops.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            textops.discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

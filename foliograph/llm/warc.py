@@ -12,8 +12,9 @@ Payloads that several rows share are stored once: the row with the smallest id
 is the response, the others are revisit records that refer to it; payloads
 smaller than `min_revisit` bytes are always responses.
 
-Defined results: null payloads are stored as empty ones; rows without an id are
-not archived, since nothing could refer to them; of repeated ids with one payload
+Defined results: null payloads are stored as empty ones; a row without an id has a
+record too, to which nothing refers: a revisit if a row with an id has its payload,
+else a response; of repeated ids with one payload
 each row has a record, and all of them but none refer to themselves: the id's own
 rows are responses; of repeated ids with different payloads each row is a response
 or a revisit by its own payload, and a record's id follows from page id and payload
@@ -64,17 +65,17 @@ def record_uuid(kind: str, page: int, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}/{page}/{digest}')}>"
 
 
-def build(page: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def build(page: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One record, before compression."""
     revisit, digest = refers_to is not None, sha1_32(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": record_uuid("record", page, digest),
+        "WARC-Record-ID": record_uuid("record", page, digest) if page is not None else f"<urn:uuid:{uuid.uuid4()}>",
         "WARC-Date": _DATE,
         "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"),
-        "X-Page-ID": str(page),
+        "X-Page-ID": "" if page is None else str(page),
         "WARC-Payload-Digest": f"sha1:{digest}",
         "WARC-Block-Digest": f"sha1:{sha1_32(block)}",
         "Content-Type": "application/http; msgtype=response",
@@ -180,18 +181,18 @@ def _payload_key(payload: Column) -> tuple[Column, Column]:
 def references(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_revisit: int = 0) -> DataFrame:
     """(id, payload's SHA-1 and length, refers_to) of the rows whose payload a row with a smaller id has too; digests alone are shuffled."""
     sha, n = _payload_key(pages[payload_col])
-    facts = pages.where(pages[id_col].isNotNull() & (n >= min_revisit)).select(pages[id_col].alias("__id"), sha.alias("__sha"), n.alias("__n"))
+    facts = pages.where(n >= min_revisit).select(pages[id_col].alias("__id"), sha.alias("__sha"), n.alias("__n"))
     first = facts.groupBy("__sha", "__n").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__rows")).where("__rows > 1").drop("__rows")
-    return facts.join(first, ["__sha", "__n"]).where(F.col("__id") != F.col("__first")).select("__id", "__sha", "__n", "__first").distinct()
+    return facts.join(first, ["__sha", "__n"]).where(~F.col("__id").eqNullSafe(F.col("__first")) & F.col("__first").isNotNull()).select("__id", "__sha", "__n", "__first").distinct()
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes a record for each row; path becomes a folder of archives."""
     dictionary = train_dictionary(pages, payload_col)
     refs = references(pages, id_col, payload_col, min_revisit)
-    rows = pages.where(pages[id_col].isNotNull()).select(pages[id_col].alias("__page"), pages[url_col].cast("string").alias("__url"), pages[payload_col].alias("__payload"))
+    rows = pages.select(pages[id_col].alias("__page"), pages[url_col].cast("string").alias("__url"), pages[payload_col].alias("__payload"))
     sha, n = _payload_key(F.col("__payload"))
-    rows = rows.join(refs, (F.col("__page") == F.col("__id")) & (sha == F.col("__sha")) & (n == F.col("__n")), "left").select("__page", "__url", "__payload", "__first")
+    rows = rows.join(refs, F.col("__page").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")) & (n == F.col("__n")), "left").select("__page", "__url", "__payload", "__first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True)
@@ -233,7 +234,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                     head, payload = parse(unpacker.decompress(raw))
                     response = head["WARC-Type"] == "response"
                     ref = head.get("X-Refers-To-Page-ID")
-                    rows.append((int(head["X-Page-ID"]), head.get("WARC-Target-URI", ""), head["WARC-Type"], int(head["http-length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), int(ref) if ref else None, payload if response and payloads else None, head["WARC-Record-ID"]))
+                    rows.append((int(head["X-Page-ID"]) if head.get("X-Page-ID") else None, head.get("WARC-Target-URI", ""), head["WARC-Type"], int(head["http-length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), int(ref) if ref else None, payload if response and payloads else None, head["WARC-Record-ID"]))
                     held += len(payload) if payloads else 0
                     if held > 16 << 20 or len(rows) >= 4096:
                         yield _batch(rows)

@@ -218,7 +218,7 @@ def test_marginals_by_enumeration():
 
 
 def test_warc(spark):
-    html = [(1, "u1", "<p>a</p>"), (2, None, "<p>a</p>"), (3, "u3", None), (4, "u4", ""), (5, "u\r\n5", "é" * 40_000), (6, "u6", "a\r\n\r\nb"), (7, "u7", "<p>a</p>"), (None, "x", "<p>a</p>"), (9, "u9", "\x00")]
+    html = [(1, "u1", "<p>a</p>"), (2, None, "<p>a</p>"), (3, "u3", None), (4, "u4", ""), (5, "u\r\n5", "é" * 40_000), (6, "u6", "a\r\n\r\nb"), (7, "u7", "<p>a</p>"), (None, "x", "<p>a</p>"), (None, "y", "alone"), (None, "y", "alone"), (9, "u9", "\x00")]
     df = spark.createDataFrame([(*r, "clash") for r in html], "page_id bigint, url string, html string, payload string")
     first = {}
     for i, _, h in html:
@@ -226,9 +226,8 @@ def test_warc(spark):
             first.setdefault(h or "", i)
     want = []
     for i, _, h in html:
-        if i is not None:
-            raw, f = (h or "").encode(), first[h or ""]
-            want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if f == i else "revisit", None if f == i else f))
+        raw, f = (h or "").encode(), first.get(h or "", i)
+        want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if f == i else "revisit", None if f == i else f))
     assert rows(warc.round_trip(df)) == sorted(want, key=repr)
     assert warc.round_trip(df.limit(0)).count() == 0
 
