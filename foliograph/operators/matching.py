@@ -110,8 +110,14 @@ def snap_overlay(fields: DataFrame, found: DataFrame, w: int, h: int) -> tuple[D
 
     Pages with fewer than GATE detections keep the template; the others are
     shifted as a whole and then matched box by box. A matched field takes the
-    detection's box. Handwriting fields are shifted only.
+    detection's box. Handwriting fields are shifted only. Detections are dealt by
+    page once; what follows groups and joins by page and needs no other shuffle of them.
+
+    Defined results: a page without detections has no row; detections with equal
+    boxes are told apart by idx; null pages are a page of their own that joins
+    nothing; a template without check boxes snaps nothing, with confidence 0.
     """
+    found = found.repartition("page")
     pages = page_counts(found)
     open_pages = pages.where(F.col("n_detected") >= GATE)
     used = found.join(open_pages.select("page"), "page", "left_semi")
