@@ -59,8 +59,6 @@ SPARE_SHARE = 6
 BITMAP, FOLDED = 1024, 512
 #: Partners that one copy of a text is compared with.
 CHUNK = 64
-#: Bits of the filter of ids: 8 MB, whatever the number of ids. A fuller filter lets more texts through to the join on ids, and changes no result.
-FILTER_BITS = 1 << 26
 
 INDEXED, PROBES, GATHERED, FIXED, MAYBE = 1, 2, 4, 8, 16
 OFFSET = 32  # from this bit on: how many bands below its own the key belongs to
@@ -368,24 +366,6 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _rows(PAIR, both[0], both[1])
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose ids are in ids, and few others: those that a filter of fixed size lets through."""
-    spark = docs.sparkSession
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    words = ids.select(slot("id").alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("word")).toArrow()
-    bits = np.zeros(FILTER_BITS >> 6, np.int64)
-    bits[words.column("at").to_numpy()] = words.column("word").to_numpy()
-    shared = spark.sparkContext.broadcast(bits.view(np.uint8))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            yield batch.select([0, 1]).filter(pa.array((table[at >> 3] >> (at & 7)) & 1 > 0))
-
-    return docs.where("__id is not null").select("__id", "__text", slot("__id").alias("slot")).mapInArrow(T.tidy(run), "__id bigint, __text string")
-
-
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets are as similar as asked."""
     small, large = (x, y) if len(x) <= len(y) else (y, x)
@@ -423,7 +403,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
                         centre[s.tobytes()] = s
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
-    rows = roles.join(_texts_of(docs, roles.select("id")), F.col("id") == F.col("__id")).select("a", "chunk", "role", "id", "__text")
+    rows = roles.join(T.sieve(docs, "__id", roles.select("id")), F.col("id") == F.col("__id")).select("a", "chunk", "role", "id", "__text")
     found = T.stored(rows.repartition(n_parts, "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(T.tidy(run), "a bigint, b bigint").distinct(), "links")
     T.discard(roles)
     return found

@@ -551,7 +551,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.where(F.octet_length(text) >= sizes[0]).select(row.alias("row"), text.alias("text"))
     marks = docs.mapInArrow(T.tidy(_fingerprints(n_parts, sizes[0])), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(T.tidy(_remaining(n_parts)), SCHEMA)
     places = T.stored(marks.repartitionById(n_parts, F.col("part")).mapInArrow(T.tidy(_places), "row bigint, places binary, hot binary"), "places")
-    some = docs.join(places, "row").select("row", "text", "places", "hot")
+    some = T.sieve(docs, "row", places.select("row")).join(places, "row").select("row", "text", "places", "hot")
     runs = some.mapInArrow(T.tidy(_send(n_parts, sizes)), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(T.tidy(_merge(n_parts, sizes)), SCHEMA)
     names = [f"spans{k}" for k in range(len(sizes))]
     spans = T.stored(runs.repartitionById(n_parts, F.col("part")).mapInArrow(T.tidy(_spans(sizes)), ", ".join(["row bigint", *(f"{n} binary" for n in names)])), "spans")

@@ -16,10 +16,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles (a longer text is one step).
 SLICE_BYTES = 1 << 20
 
+#: Bits of sieve()'s filter: 8 MB, whatever the number of keys.
+FILTER_BITS = 1 << 26
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -215,6 +219,28 @@ def filter_rows(df: DataFrame, text_col: str, good: Callable[[Texts], np.ndarray
     return df.mapInArrow(tidy(run), df.schema)
 
 
+def sieve(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key is among keys (one column), and few others: what a filter of fixed size lets through to a join.
+
+    Null keys are left out. The more keys there are the fuller the filter is; it then lets more rows through, and a join's result is the same.
+    """
+    spark = df.sparkSession
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words = keys.select(slot(F.col(keys.columns[0])).alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("word")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    bits[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    shared = spark.sparkContext.broadcast(bits.view(np.uint8))
+    n = len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            at = batch.column(n).to_numpy()
+            yield batch.select(range(n)).filter(pa.array((table[at >> 3] >> (at & 7)) & 1 > 0))
+
+    return df.where(F.col(key).isNotNull()).withColumn("__slot", slot(F.col(key))).mapInArrow(tidy(run), df.schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. Where it is unset a local master (tests) gets one beside the warehouse; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
