@@ -29,8 +29,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Empty texts and rows without an id belong to no class and stay; rows with one id are one document and stay or go together; an empty table stays empty.
     """
-    classes = ngramjoin.similarity_classes(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    others = ngramjoin.similarity_classes(docs).where("doc_id != component_id").select("doc_id").distinct()
+    some, rest = textops.sieves(docs, "doc_id", others)
+    return rest.unionByName(some.join(others.hint("merge"), "doc_id", "left_anti").select(*docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,5 +202,6 @@ def score(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 5, held_out: int = 0) -> DataFrame:
     """Per row: held_out, score, predicted."""
     field = train(labelled.sample(df, labels, label_col, modulus, held_out, id_col, text_col))
+    T.give_back()
     found = score(df, field, id_col, text_col)
     return found.select(id_col, (labelled.remainder(F.col(id_col), modulus) == held_out).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

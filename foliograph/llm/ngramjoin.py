@@ -403,7 +403,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
                         centre[s.tobytes()] = s
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
-    rows = roles.join(T.sieve(docs, "__id", roles.select("id")), F.col("id") == F.col("__id")).select("a", "chunk", "role", "id", "__text")
+    rows = T.sieve(docs, "__id", roles.select("id")).join(roles.hint("merge"), F.col("id") == F.col("__id")).select("a", "chunk", "role", "id", "__text")
     found = T.stored(rows.repartition(n_parts, "a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(T.tidy(run), "a bigint, b bigint").distinct(), "links")
     T.discard(roles)
     return found

@@ -551,7 +551,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.where(F.octet_length(text) >= sizes[0]).select(row.alias("row"), text.alias("text"))
     marks = docs.mapInArrow(T.tidy(_fingerprints(n_parts, sizes[0])), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(T.tidy(_remaining(n_parts)), SCHEMA)
     places = T.stored(marks.repartitionById(n_parts, F.col("part")).mapInArrow(T.tidy(_places), "row bigint, places binary, hot binary"), "places")
-    some = T.sieve(docs, "row", places.select("row")).join(places, "row").select("row", "text", "places", "hot")
+    some = T.sieve(docs, "row", places.select("row")).join(places.hint("merge"), "row").select("row", "text", "places", "hot")
     runs = some.mapInArrow(T.tidy(_send(n_parts, sizes)), SCHEMA).repartitionById(n_parts, F.col("part")).mapInArrow(T.tidy(_merge(n_parts, sizes)), SCHEMA)
     names = [f"spans{k}" for k in range(len(sizes))]
     spans = T.stored(runs.repartitionById(n_parts, F.col("part")).mapInArrow(T.tidy(_spans(sizes)), ", ".join(["row bigint", *(f"{n} binary" for n in names)])), "spans")
@@ -571,7 +571,10 @@ def _applied(df: DataFrame, columns: list[str], schema: str, make, id_col: str,
     text, row = _named(df, id_col, text_col)
     kept = df.select(*[df[c] for c in columns], text.alias("__text"), row.alias("__row"))
     every = found.select(F.col("row").alias("__key"), F.col("whole").alias("__whole"), *(F.col(n).alias(f"__{n}") for n in names))
-    joined = kept.join(every, F.col("__row") == F.col("__key"), "left").select(*columns, "__text", "__whole", *(f"__{n}" for n in names))
+    some, rest = T.sieves(kept, "__row", found.select("row"))
+    wanted = [*columns, "__text", "__whole", *(f"__{n}" for n in names)]
+    joined = some.join(every.hint("merge"), F.col("__row") == F.col("__key"), "left").select(*wanted)
+    joined = joined.unionByName(rest.select(*columns, "__text", F.lit(None).cast("boolean").alias("__whole"), *(F.lit(None).cast("binary").alias(f"__{n}") for n in names)))
     n = len(columns)
     head = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in columns)
 

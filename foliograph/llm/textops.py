@@ -172,6 +172,14 @@ def covered(at: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(delta[:n]) > 0
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which the worker gives back what it no longer uses: workers live on, beside other stages' memory."""
 
@@ -179,10 +187,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return whole
 
@@ -219,10 +224,10 @@ def filter_rows(df: DataFrame, text_col: str, good: Callable[[Texts], np.ndarray
     return df.mapInArrow(tidy(run), df.schema)
 
 
-def sieve(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows of df whose key is among keys (one column), and few others: what a filter of fixed size lets through to a join.
+def sieves(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key is among keys (one column) with few others, and the rest: only the former need a join, and a shuffle.
 
-    Null keys are left out. The more keys there are the fuller the filter is; it then lets more rows through, and a join's result is the same.
+    Null keys are in the rest. The filter has a fixed size. The more keys there are the fuller it is; it then lets more rows through, and a join's result is the same.
     """
     spark = df.sparkSession
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
@@ -232,13 +237,23 @@ def sieve(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(bits.view(np.uint8))
     n = len(df.columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            at = batch.column(n).to_numpy()
-            yield batch.select(range(n)).filter(pa.array((table[at >> 3] >> (at & 7)) & 1 > 0))
+    def part(through: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = shared.value
+            for batch in batches:
+                at = batch.column(n).fill_null(0).to_numpy()
+                found = (((table[at >> 3] >> (at & 7)) & 1) > 0) & np.array(batch.column(n).is_valid())
+                yield batch.select(list(range(n))).filter(pa.array(found if through else ~found))
 
-    return df.where(F.col(key).isNotNull()).withColumn("__slot", slot(F.col(key))).mapInArrow(tidy(run), df.schema)
+        return placed.mapInArrow(tidy(run), df.schema)
+
+    placed = df.withColumn("__slot", F.when(F.col(key).isNotNull(), slot(F.col(key))))
+    return part(True), part(False)
+
+
+def sieve(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key is among keys (one column), and few others."""
+    return sieves(df, key, keys)[0]
 
 
 def shared_dir(spark: SparkSession) -> str:

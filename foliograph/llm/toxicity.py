@@ -66,16 +66,18 @@ def train(rows: list[tuple[str, int]], bits: int = BITS, epochs: int = 4, alpha:
     """FTRL-proximal over the rows in their order."""
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    examples: list[tuple[np.ndarray, int]] = []
+    examples: list[tuple[np.ndarray, int]] = []  # 32 bits a coordinate: the driver holds all of them
     raw = [x.encode() for x, _ in rows]
     offs = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(x) for x in raw], out=offs[1:])
     for i, _, t in T.slices(T.Texts(np.frombuffer(b"".join(raw), np.uint8), offs)):
         at, doc = features(t, bits)
-        key = np.unique(doc * size + at)
-        cut = np.searchsorted(key, np.arange(len(t) + 1) * size)
+        key = np.unique(np.concatenate([doc * (size + 1) + at, np.arange(len(t)) * (size + 1) + size]))  # the last coordinate is the bias
+        cut = np.searchsorted(key, np.arange(len(t) + 1) * (size + 1))
+        key = (key % (size + 1)).astype(np.int32)
         for d in range(len(t)):
-            examples.append((np.append(key[cut[d] : cut[d + 1]] % size, size), rows[i + d][1]))
+            examples.append((key[cut[d] : cut[d + 1]], rows[i + d][1]))
+    del raw, offs
 
     def weights(at: np.ndarray | slice) -> np.ndarray:
         zi = z[at]
@@ -133,7 +135,9 @@ def clean(df: DataFrame, model: Weights, text_col: str = "text", threshold: floa
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Weights:
     """Weights learnt from a bounded sample of the labelled rows that are not held out."""
-    return train(labelled.sample(df, labels, label_col, modulus, held_out, id_col, text_col))
+    found = train(labelled.sample(df, labels, label_col, modulus, held_out, id_col, text_col))
+    T.give_back()
+    return found
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 4, held_out: int = 2) -> DataFrame:
