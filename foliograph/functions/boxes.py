@@ -2,6 +2,9 @@
 
 Rounding is half to even (`rint`), boxes are half open, and all of it stays in
 whole-stage code generation.
+
+Defined results: a null corner makes the result null; empty boxes have no overlap
+with anything; of equal corner sums the first point wins.
 """
 
 from __future__ import annotations

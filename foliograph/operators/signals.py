@@ -2,6 +2,10 @@
 
 A profile is (key, i, v), a tile (key, y, x, v). Windows are partitioned by the
 key, so one page's profile is one task's work and pages are spread.
+
+Defined results: null values count as missing in sums and means, as in SQL; of equal
+values the first place wins; repeated places of one key are separate samples; an
+empty profile or tile gives no rows; other columns are dropped.
 """
 
 from __future__ import annotations
