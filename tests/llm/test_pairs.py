@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from foliograph.llm import graph, ngramjoin
+from foliograph.llm import graph, ngramjoin, textops
 
 SF = "/root/testdata/sf0.01"
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,6 +79,10 @@ def test_similarity_classes(spark, seed):
 
 
 def test_similarity_classes_small_blocks(spark, monkeypatch):
+    """Small blocks, a copy of a centre for each partner, and a filter so full that it lets nearly all through."""
+    monkeypatch.setattr(ngramjoin, "LOCAL_BYTES", 3000)
+    monkeypatch.setattr(ngramjoin, "CHUNK", 1)
+    monkeypatch.setattr(textops, "FILTER_BITS", 64)
     rows = near_copies(9, 300)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
     want = brute_classes(rows)
@@ -122,6 +126,19 @@ def test_pigeonhole():
             assert probes & {k for k, r in small if r & ngramjoin.INDEXED}
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 12])
+def test_sieves(spark, monkeypatch, bits):
+    monkeypatch.setattr(textops, "FILTER_BITS", bits)
+    rows = [(k if k % 7 else None, f"t{k}") for k in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(3)
+    keys = spark.createDataFrame([(k,) for k in range(0, 400, 5)] + [(None,)], "other bigint")
+    through, rest = (sorted((tuple(r) for r in x.collect()), key=repr) for x in textops.sieves(df, "id", keys))
+    assert sorted(through + rest, key=repr) == sorted(rows, key=repr)
+    assert {r for r in rows if r[0] is not None and r[0] % 5 == 0} <= set(through)
+    assert {r for r in rows if r[0] is None} <= set(rest)
+    assert textops.sieve(df, "id", keys.limit(0)).count() == 0
+
+
 def test_components(spark):
     pick = random.Random(5)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(pick.randrange(200, 300), pick.randrange(200, 300)) for _ in range(60)]
