@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step handles (a longer text is one step).
 SLICE_BYTES = 1 << 20
 
-#: Bits of sieve()'s filter: 8 MB, whatever the number of keys.
+#: Bits of the filter of sieves(): 8 MB, whatever the number of keys.
 FILTER_BITS = 1 << 26
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -227,28 +227,17 @@ def filter_rows(df: DataFrame, text_col: str, good: Callable[[Texts], np.ndarray
 def sieves(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of df whose key is among keys (one column) with few others, and the rest: only the former need a join, and a shuffle.
 
-    Null keys are in the rest. The filter has a fixed size. The more keys there are the fuller it is; it then lets more rows through, and a join's result is the same.
+    Null keys are in the rest. The filter has FILTER_BITS bits, whatever the number of keys: at most FILTER_BITS / 64 rows are broadcast. The more keys there are
+    the fuller it is; it then lets more rows through, and a join's result is the same.
     """
-    spark = df.sparkSession
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    words = keys.select(slot(F.col(keys.columns[0])).alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("word")).toArrow()
-    bits = np.zeros(FILTER_BITS >> 6, np.int64)
-    bits[words.column("at").to_numpy()] = words.column("word").to_numpy()
-    shared = spark.sparkContext.broadcast(bits.view(np.uint8))
-    n = len(df.columns)
-
-    def part(through: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            for batch in batches:
-                at = batch.column(n).fill_null(0).to_numpy()
-                found = (((table[at >> 3] >> (at & 7)) & 1) > 0) & np.array(batch.column(n).is_valid())
-                yield batch.select(list(range(n))).filter(pa.array(found if through else ~found))
-
-        return placed.mapInArrow(tidy(run), df.schema)
-
-    placed = df.withColumn("__slot", F.when(F.col(key).isNotNull(), slot(F.col(key))))
-    return part(True), part(False)
+    bit = lambda c: (c % 64).cast("int")
+    slots = keys.select(slot(F.col(keys.columns[0])).alias("__s")).where(F.col(keys.columns[0]).isNotNull())
+    words = slots.groupBy(F.shiftright("__s", 6).alias("__at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__s % 64 as int))")).alias("__word"))
+    placed = df.withColumn("__slot", F.when(F.col(key).isNotNull(), slot(F.col(key)))).join(F.broadcast(words), F.shiftright("__slot", 6) == F.col("__at"), "left")
+    found = F.coalesce(F.getbit("__word", bit(F.col("__slot"))) == 1, F.lit(False))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return placed.where(found).select(*own), placed.where(~found).select(*own)
 
 
 def sieve(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
