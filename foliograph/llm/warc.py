@@ -49,6 +49,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ARCHIVE_BYTES = 8 << 20
 #: Rows that the dictionary is trained on at most, and its size.
 SAMPLE_ROWS, DICT_BYTES = 200, 32 << 10
+#: Characters of each of them.
+SAMPLE_CHARS = 64 << 10
 LEVEL = 3
 _DATE = datetime.datetime(2020, 1, 1, tzinfo=datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -165,7 +167,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 def train_dictionary(pages: DataFrame, payload_col: str = "html", rows: int = SAMPLE_ROWS, size: int = DICT_BYTES) -> bytes:
     """A dictionary from a bounded sample of records; empty if there is too little to train on."""
-    some = [build(0, None, (r[0] or "")[: 64 << 10].encode(), None) for r in pages.select(payload_col).limit(rows).collect()]
+    some = [build(0, None, (r[0] or "").encode(), None) for r in pages.select(F.substring(payload_col, 1, SAMPLE_CHARS)).limit(rows).collect()]
     try:
         return zstandard.train_dictionary(size, some).as_bytes()
     except zstandard.ZstdError:
