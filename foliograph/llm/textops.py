@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles (a longer text is one step).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Rows that Spark hands to a Python worker at once while an intermediate result is made; either side holds a batch.
+BATCH_ROWS = 1280
 
 #: Bits of the filter of sieves(): 8 MB, whatever the number of keys.
 FILTER_BITS = 1 << 26
@@ -272,22 +274,27 @@ def _files(spark: SparkSession, path: str):
 
 
 @contextlib.contextmanager
-def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the jobs in this block go as soon as each job ends: what they gave is stored."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key)
-    spark.conf.set(key, "true")
+def storing(spark: SparkSession) -> Iterator[None]:
+    """For jobs whose results are stored: their shuffle files go as soon as each job ends, and Python workers get smaller batches."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
+        own[batch] = str(BATCH_ROWS)
+    was = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, and any executor may be lost afterwards."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    with short_lived_shuffles(spark):
+    with storing(spark):
         df.write.parquet(path)
     gone_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)

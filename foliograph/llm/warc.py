@@ -257,7 +257,7 @@ def round_trip(pages: DataFrame, name: str = "warc") -> DataFrame:
     """Writes pages to archives in the shared folder and gives the records read back."""
     spark = pages.sparkSession
     path = T.scratch(spark, name)
-    with T.short_lived_shuffles(spark):
+    with T.storing(spark):
         write(pages, path)
     T.gone_at_exit(spark, path)
     return read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
