@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles (a longer text is one step).
 SLICE_BYTES = 1 << 19
-#: Rows that Spark hands to a Python worker at once while an intermediate result is made; either side holds a batch.
+#: Rows of text that Spark hands to a Python worker at once; either side holds a batch.
 BATCH_ROWS = 1280
 
 #: Bits of the filter of sieves(): 8 MB, whatever the number of keys.
@@ -199,6 +199,7 @@ def per_row(df: DataFrame, columns: list[str], schema: str, make: Callable[[Text
 
     `columns` is the text column, in a list. Nothing else is read from df.
     """
+    small_batches(df.sparkSession)
     text = columns[0]
     kept = df.select(*[df[c] for c in keep], df[text].alias("__text"))
     names = [c for c in kept.columns if c != "__text"]
@@ -216,6 +217,7 @@ def per_row(df: DataFrame, columns: list[str], schema: str, make: Callable[[Text
 
 def filter_rows(df: DataFrame, text_col: str, good: Callable[[Texts], np.ndarray]) -> DataFrame:
     """The rows of df, with all their columns, whose texts are good."""
+    small_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,19 +277,22 @@ def _files(spark: SparkSession, path: str):
 
 @contextlib.contextmanager
 def storing(spark: SparkSession) -> Iterator[None]:
-    """For jobs whose results are stored: their shuffle files go as soon as each job ends, and Python workers get smaller batches."""
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-    if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
-        own[batch] = str(BATCH_ROWS)
-    was = {k: spark.conf.get(k) for k in own}
-    for k, v in own.items():
-        spark.conf.set(k, v)
+    """For jobs whose results are stored: their shuffle files go as soon as each job ends."""
+    small_batches(spark)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "true")
     try:
         yield
     finally:
-        for k, v in was.items():
-            spark.conf.set(k, v)
+        spark.conf.set(key, was)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch, unless the user has chosen a number: 10,000 texts are too much to hold on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
