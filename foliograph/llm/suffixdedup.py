@@ -55,7 +55,7 @@ GRAM = 16
 #: A prefix with more suffixes than this is decided by hashes of windows.
 HOT = 512
 #: A task sends a run when its suffixes reach this size.
-RUN_BYTES = 24 << 20
+RUN_BYTES = 10 << 20
 LOCAL_BYTES = 8 << 20
 
 COPY, FIRST = -1, -2  # places that say: equal to an earlier text; the first of equal texts
