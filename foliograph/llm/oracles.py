@@ -69,4 +69,44 @@ b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transfor
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {base} AS base_failed, NOT {base} AND NOT ({" OR ".join(bad)}) AS kept FROM b {joins}"""
 
 
-ORACLES = {"op1_ngram_join": OP1, "op2_warc": OP2, "op3_quality_rules": op3(), "op8_decontamination": OP8}
+def op11(k: int = 8, rounds: int = 10) -> str:
+    finite = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))::BIGINT"
+    floor = "((s - ((s % n) + n) % n) // n)::BIGINT"
+    tables = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE {finite})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, q FROM (SELECT sha256('3:' || vec_id) AS h, q FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        tables.append(f"a{r} AS MATERIALIZED (SELECT * FROM (SELECT v.vec_id, v.q, c.k, {gap} AS d FROM v, c{r} c) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)")
+        if r < rounds:
+            sums = f"SELECT k, i, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT k, unnest(range(1, 65)) AS i, unnest(q) AS x FROM a{r}) GROUP BY k, i"
+            tables.append(f"c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN (SELECT k, list({floor} ORDER BY i) AS q FROM ({sums}) GROUP BY k) m USING (k))")
+    return f"""
+WITH {", ".join(tables)}
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (k)"""
+
+
+OP12 = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+reach AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.node),
+c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.node = vec_id"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP13 = f"""
+WITH dt AS MATERIALIZED (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS t FROM documents) GROUP BY ALL),
+l AS MATERIALIZED (SELECT doc_id, sum(tf)::BIGINT AS n FROM dt GROUP BY doc_id),
+g AS MATERIALIZED (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM l),
+it AS MATERIALIZED (SELECT item_id, t, count(*) AS r FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS t FROM benchmark) GROUP BY ALL),
+w AS MATERIALIZED (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM dt GROUP BY t), g),
+p AS MATERIALIZED (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * nn) // ll)))) AS share FROM dt JOIN l USING (doc_id) JOIN w USING (t), g),
+s AS (SELECT item_id, doc_id, sum(r * share)::BIGINT AS score FROM it JOIN p USING (t) GROUP BY ALL HAVING sum(r * share) > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20"""
+
+
+ORACLES = {"op1_ngram_join": OP1, "op2_warc": OP2, "op3_quality_rules": op3(), "op8_decontamination": OP8, "op11_centroid_clustering": op11(), "op12_embedding_dedup": OP12, "op13_ranked_search": OP13}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, linequality, lmscore, ngramjoin, repetition, sentencepieces, suffixdedup, toxicity, warc
+from . import centroids, decontaminate, latticededup, licenses, linequality, lmscore, ngramjoin, rankedsearch, repetition, sentencepieces, suffixdedup, toxicity, warc
 from .oracles import ORACLES
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -68,6 +68,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latticededup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rankedsearch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
@@ -79,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
