@@ -25,16 +25,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import groups
 from . import textops as T
 from .graph import components
 
 THRESHOLD = 0.98
 #: Tables; E8 blocks of a table; length that becomes 1 in the lattice; neighbouring cells that are probed.
 TABLES, BLOCKS, WIDTH, PROBES = 4, 2, 1.5, 6
-#: Vectors of a cell in one block; two blocks meet in a task.
-BLOCK = 512
-#: Groups of fewer vectors are compared together, pair by pair, so many pairs at once.
-SMALL, PAIRS = 24, 1 << 14
 #: Slack of the first comparison, before the exact one.
 SLACK = 1e-9
 
@@ -144,20 +141,31 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return own.mapInArrow(run, f"node bigint, lab bigint, n bigint, vector {own.schema['vector'].dataType.simpleString()}, cells array<bigint>")
 
 
-class Group:
-    """Members that meet in cells, sorted by cell and pair of blocks."""
+class Group(groups.Members):
+    """Members that meet in cells."""
 
     def __init__(self, batch: pa.RecordBatch):
-        take = lambda name: np.ascontiguousarray(batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False))
-        self.key, self.a, self.b, self.side, self.node, self.lab, self.n, self.own = (take(x) for x in ("key", "a", "b", "side", "node", "lab", "n", "own"))
-        self.flat, self.first, self.dims = unit_rows(batch.column(batch.schema.get_field_index("vector")))
-        cells = batch.column(batch.schema.get_field_index("cells"))
-        self.cells = cells.flatten().to_numpy(zero_copy_only=False).reshape(len(self.node), TABLES, 1 + PROBES)
+        super().__init__(batch)
+        self.node, self.lab, self.n, self.own = (self.take(x) for x in ("node", "lab", "n", "own"))
+        self.flat, self.first, self.dims = unit_rows(self.column("vector"))
+        self.cells = self.column("cells").flatten().to_numpy(zero_copy_only=False).reshape(len(self.node), TABLES, 1 + PROBES)
 
     def vectors(self, at: np.ndarray) -> np.ndarray:
         """Unit vectors, all of one dimension, of these members."""
         return self.flat[self.first[at][:, None] + np.arange(self.dims[at[0]])]
 
+    def near(self, threshold: float):
+        """For pairs(): whose cosine comes about to the threshold."""
+
+        def of(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(rows), len(others)), bool)
+            for d in np.unique(self.dims[rows]):
+                x, y = np.flatnonzero(self.dims[rows] == d), np.flatnonzero(self.dims[others] == d)
+                out[np.ix_(x, y)] = self.vectors(rows[x]) @ self.vectors(others[y]).T >= threshold - SLACK
+            return out
+
+        return of
+
 
 def _first_meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The key by which pairs count, from both sides' cells (the first side is that of the smaller node): of the first table in which they meet, that of the first side's own cell if the other one is or probes there, else of the second's."""
@@ -168,39 +176,11 @@ def _first_meeting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(there[at, table], x[at, table, 0], y[at, table, 0])
 
 
-def _candidates(g: Group, edge: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of members of one group whose cosine comes to the threshold, in chunks; edge: where groups begin, and the end."""
-    small_i, small_j, waiting = [], [], 0
-    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        size = hi - lo
-        if size < 2:
-            continue
-        if size < SMALL:
-            i, j = np.triu_indices(size, 1)
-            small_i.append(i + lo)
-            small_j.append(j + lo)
-            waiting += len(i)
-            if waiting >= PAIRS:
-                yield np.concatenate(small_i), np.concatenate(small_j)
-                small_i, small_j, waiting = [], [], 0
-            continue
-        for d in np.unique(g.dims[lo:hi]):
-            own = lo + np.flatnonzero(g.dims[lo:hi] == d)
-            v = g.vectors(own)
-            for at in range(0, len(own), 128):
-                i, j = np.nonzero(v[at : at + 128] @ v[at:].T >= threshold - SLACK)
-                up = i < j
-                for k in range(0, int(up.sum()), PAIRS):
-                    yield own[at + i[up][k : k + PAIRS]], own[at + j[up][k : k + PAIRS]]
-    if waiting:
-        yield np.concatenate(small_i), np.concatenate(small_j)
-
-
-def linked(g: Group, edge: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def linked(g: Group, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Members (places) that are linked and whose links count here."""
     out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    for i, j in _candidates(g, edge, threshold):
-        good = (g.lab[i] == g.lab[j]) & (g.node[i] != g.node[j]) & (g.own[i] | g.own[j]) & (g.dims[i] == g.dims[j]) & ((g.a[i] == g.b[i]) | (g.side[i] != g.side[j]))
+    for i, j in g.pairs(g.near(threshold)):
+        good = (g.lab[i] == g.lab[j]) & (g.node[i] != g.node[j]) & (g.own[i] | g.own[j]) & (g.dims[i] == g.dims[j]) & g.meet(i, j)
         i, j = i[good], j[good]
         swap = g.node[i] > g.node[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -236,31 +216,6 @@ def _told(g: Group, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root]), pa.array(count)], names=["a", "b", "n"])
 
 
-def _meet(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Groups stand together, but may go on in the next batch; what is held is a batch and the group at its end."""
-    rest: pa.Table | None = None
-    group = ("key", "a", "b")
-
-    def whole(table: pa.Table) -> pa.RecordBatch | None:
-        g = Group(table.combine_chunks().to_batches()[0])
-        new = (np.diff(g.key) != 0) | (np.diff(g.a) != 0) | (np.diff(g.b) != 0)
-        x, y = linked(g, np.concatenate([[0], np.flatnonzero(new) + 1, [len(g.key)]]), threshold)
-        return _told(g, x, y) if len(x) else None
-
-    for batch in batches:
-        if not len(batch):
-            continue
-        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        ends = [np.asarray(table.column(c)) for c in group]
-        differs = np.logical_or.reduce([e != e[-1] for e in ends])
-        cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
-        if cut and (made := whole(table.slice(0, cut))) is not None:
-            yield made
-        rest = table.slice(cut)
-    if rest is not None and len(rest) and (made := whole(rest)) is not None:
-        yield made
-
-
 def near_copies(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
@@ -289,16 +244,16 @@ def near_copies(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_
 
     entries = keyed.select("node", F.posexplode("cells")).select("node", F.col("col").alias("key"), (F.col("pos") % (1 + PROBES) == 0).alias("own"))
     sizes = entries.groupBy("key").agg(F.sum(F.col("own").cast("bigint")).alias("indexed"), F.count("*").alias("size"))
-    met = sizes.where("indexed > 0 and size > 1").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    placed = entries.join(met, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("node", "key", "own", "block", other).select("node", "key", "own", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("block") > F.col("other")).alias("side"))
-    members = dealt.join(keyed, "node").repartition(T.parts(df.sparkSession), "key", "a", "b").sortWithinPartitions("key", "a", "b")
+    members = groups.dealt(entries, sizes.where("indexed > 0 and size > 1"), "node", groups.BLOCK).join(keyed, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _meet(batches, threshold)
+        for batch in groups.whole(batches):
+            g = Group(batch)
+            x, y = linked(g, threshold)
+            if len(x):
+                yield _told(g, x, y)
 
-    found = T.stored(members.select("key", "a", "b", "side", "node", "lab", "n", "own", "vector", "cells").mapInArrow(run, "a bigint, b bigint, n bigint"), "found")
+    found = T.stored(groups.gathered(members, T.parts(df.sparkSession)).mapInArrow(run, "a bigint, b bigint, n bigint"), "found")
     T.discard(keyed)
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     named = components(found)

@@ -35,7 +35,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import graph
+from . import graph, groups
 from . import textops as T
 from .blobs import SCHEMA, batch_of, by_part, from48, low48, pack, unpack
 
@@ -423,7 +423,7 @@ def _may_link(p: str, q: str, size: int, percent: int) -> Column:
     return sizes & F.coalesce(differ * (100 + percent) <= (F.col(f"{p}.most") + F.col(f"{q}.most")) * (100 - percent), F.lit(True))
 
 
-def _across(members: DataFrame, spare: DataFrame, shapes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _across(members: DataFrame, spare: DataFrame, shapes: DataFrame, labels: DataFrame, percent: int, note: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pairs of one key whose documents are in different components and of sizes that allow a link.
 
     Now that it is known how many documents share each key, every document leaves
@@ -434,18 +434,51 @@ def _across(members: DataFrame, spare: DataFrame, shapes: DataFrame, labels: Dat
     named = members.groupBy(F.col("x").alias("key"), F.col("a").alias("doc")).agg(F.bit_or("b").alias("role")).join(labels, F.col("doc") == labels.node, "left").select("key", "doc", "role", F.coalesce("component", "doc").alias("component"))
     asks = F.col("roles").bitwiseAND(INDEXED) > 0
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bit_or("role").alias("roles"), F.count(F.lit(1)).alias("times")).where((F.col("low") != F.col("high")) & asks & (F.col("roles").bitwiseAND(PROBES | MAYBE) > 0)).select("key", "times")
-    rows = T.stored(named.join(open_keys, "key"), "open")
+    rows = note(T.stored(named.join(open_keys, "key"), "open"))
     role = F.col("role")
     probes = rows.where(role.bitwiseAND(PROBES | MAYBE) > 0).withColumn("offset", F.shiftright(role, 5))
     rank = F.row_number().over(Window.partitionBy("doc", "offset").orderBy(role.bitwiseAND(FIXED) > 0, F.col("times").desc(), "key"))
     kept = probes.withColumn("rank", rank).join(spare, ["doc", "offset"], "left").where((F.col("rank") > F.coalesce("spare", F.lit(0))) | (role.bitwiseAND(FIXED) > 0)).select("key", "doc", "component")
-    short = shapes.select("rep", "least", "most", _fold(F.col("bits"), FOLDED).alias("bits"))
-    sized = lambda df: df.join(short, F.col("doc") == short.rep).select("key", "doc", "component", "least", "most", "bits")
-    p, q = sized(kept).alias("p"), sized(rows.where(role.bitwiseAND(INDEXED) > 0)).alias("q")
-    fits = (F.col("p.component") != F.col("q.component")) & _may_link("p", "q", FOLDED, percent)
-    found = T.stored(p.join(q, (F.col("p.key") == F.col("q.key")) & fits).select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct(), "across")
-    T.discard(rows)
-    return found
+    short = shapes.select("rep", "least", "most", F.when(F.col("bits").isNotNull(), _fold(F.col("bits"), FOLDED)).alias("bits"))
+    asked = rows.where(role.bitwiseAND(INDEXED) > 0).select("key", "doc", "component", F.lit(False).alias("probes"))
+    entries = kept.select("key", "doc", "component", F.lit(True).alias("probes")).unionByName(asked)
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if("probes").alias("asking")).where("asking > 0 and size > asking")
+    members = groups.dealt(entries, sizes, "doc", groups.BLOCK).join(short, F.col("doc") == short.rep).drop("rep")
+    found = groups.gathered(members, T.parts(members.sparkSession)).mapInArrow(T.tidy(_meet(percent)), "a bigint, b bigint").distinct()
+    return T.stored(found, "across")
+
+
+def _meet(percent: int):
+    """Pairs of one key, in different components, for which sizes and bitmaps leave room: those of a key that is common to many are compared in blocks, bitmap by bitmap."""
+
+    def room(g: groups.Members, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        least, most = g.sizes
+        fits = (most[j] * 100 >= least[i] * percent) & (most[i] * 100 >= least[j] * percent)
+        differ = np.zeros(np.broadcast(i, j).shape, np.int64)
+        for word in g.words:
+            differ += np.bitwise_count(word[i] ^ word[j])
+        return fits & (differ * (100 + percent) <= (most[i] + most[j]) * (100 - percent)) | ~(g.known[i] & g.known[j]) & fits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups.whole(batches):
+            g = groups.Members(batch)
+            doc, component, probes = g.take("doc"), g.take("component"), g.take("probes")
+            g.sizes = g.take("least"), g.take("most")
+            bits = g.column("bits")
+            g.known = np.array(bits.is_valid())
+            words = np.zeros((len(doc), FOLDED // 64), np.uint64)
+            words[g.known] = bits.drop_null().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, FOLDED // 64)
+            g.words = np.ascontiguousarray(words.T)
+            found = [np.empty((2, 0), np.int64)]
+            for i, j in g.pairs(lambda x, y, g=g: room(g, x[:, None], y[None, :])):
+                good = (component[i] != component[j]) & (probes[i] != probes[j]) & g.meet(i, j)
+                i, j = i[good], j[good]
+                good = room(g, i, j)
+                found.append(np.stack([np.minimum(doc[i[good]], doc[j[good]]), np.maximum(doc[i[good]], doc[j[good]])]))
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
 
 
 def _plausible(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
@@ -456,24 +489,30 @@ def _plausible(pairs: DataFrame, shapes: DataFrame, percent: int) -> DataFrame:
 
 def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: id_col, n_shingles, component_id (the smallest id reachable by links of at least `percent` Jaccard similarity)."""
+    with T.temporary() as note:
+        return _classes(df, id_col, text_col, words, percent, note)
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, note: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What similarity_classes() gives, stored; everything else that is stored is noted, and goes afterwards."""
     spark = df.sparkSession
     docs = df.select(df[id_col].cast("bigint").alias("__id"), df[text_col].alias("__text"))
     n_parts = T.parts(spark)
     index = docs.mapInArrow(T.tidy(_index(n_parts, words, percent)), SCHEMA).repartitionById(n_parts, F.col("part"))
-    found = T.stored(index.mapInArrow(T.tidy(_candidates), _ROWS), "candidates")
+    found = note(T.stored(index.mapInArrow(T.tidy(_candidates), _ROWS), "candidates"))
     facts = found.where(f"kind = {FACT}").select("a", "b", "x", "y")
     filled = facts.where("a is not null and b > 0")
     # documents with equal sets stand for one another
     least = filled.groupBy("x", "y", "b").agg(F.min("a").alias("rep"))
     every = filled.join(least, ["x", "y", "b"]).select(F.col("a").alias("doc"), "rep").distinct()
-    first = T.stored(every.groupBy("doc").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")), "reps")
+    first = note(T.stored(every.groupBy("doc").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")), "reps"))
     equal = every.join(first.select("doc", F.col("rep").alias("low")), "doc").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     reps = first.select("doc", "rep")
     # of documents with several texts nothing is left out: their keys and sizes belong to different sets
     several = every.join(first.where("rep != last").select("doc"), "doc").select("rep").distinct().withColumn("several", F.lit(True))
     sizes = facts.where("a is not null").groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most")).join(reps, F.col("a") == reps.doc).groupBy("rep").agg(F.min("least").alias("least"), F.max("most").alias("most"))
     bits = found.where(f"kind = {BITS}").select("a", "bits").join(reps, F.col("a") == reps.doc).groupBy("rep").agg(F.first("bits").alias("bits")).join(several.select("rep"), "rep", "left_anti")
-    shapes = T.stored(sizes.join(bits, "rep", "left"), "shapes")
+    shapes = note(T.stored(sizes.join(bits, "rep", "left"), "shapes"))
 
     def contracted(links: DataFrame) -> DataFrame:
         a, b = reps.select(F.col("doc").alias("a"), F.col("rep").alias("ra")), reps.select(F.col("doc").alias("b"), F.col("rep").alias("rb"))
@@ -481,29 +520,25 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # keys of one part give a pair once; how many parts do tells how alike the two are likely to be
     seen = found.where(f"kind = {PAIR}").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
-    pairs = T.stored(_plausible(contracted(seen), shapes, percent), "pairs")
+    pairs = note(T.stored(_plausible(contracted(seen), shapes, percent), "pairs"))
     # each document is first compared with its likeliest partner only
     first_choice = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
-    links = T.stored(_verified(docs, first_choice, words, percent).unionByName(equal), "links")
-    labels = graph.components(links)
+    links = note(T.stored(note(_verified(docs, first_choice, words, percent)).unionByName(equal), "links"))
+    labels = note(graph.components(links))
     p, q = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     apart = pairs.join(first_choice, ["a", "b"], "left_anti").join(p, "a", "left").join(q, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    second = _verified(docs, apart, words, percent)
+    second = note(_verified(docs, apart, words, percent))
     if not second.isEmpty():
         links = links.unionByName(second)
-        labels = graph.components(links)
+        labels = note(graph.components(links))
     # what is left: documents of different components that share a key
     spare = found.where(f"kind = {SPARE}").join(reps, F.col("a") == reps.doc).groupBy("rep", "b").agg(F.min("x").alias("least")).join(several, "rep", "left").select(F.col("rep").alias("doc"), F.col("b").cast("int").alias("offset"), F.when(F.col("several").isNull(), F.col("least")).otherwise(0).alias("spare"))
     named = found.where(f"kind = {MEMBER}").join(reps, F.col("a") == reps.doc).select(F.col("rep").alias("a"), "b", "x")
-    across = _across(named, spare, shapes, labels, percent)
-    left = T.stored(_plausible(across.join(pairs, ["a", "b"], "left_anti"), shapes, percent), "left")
-    T.discard(across, shapes, pairs)
+    across = note(_across(named, spare, shapes, labels, percent, note))
+    left = note(T.stored(_plausible(across.join(pairs, ["a", "b"], "left_anti"), shapes, percent), "left"))
     if not left.isEmpty():
-        third = _verified(docs, left, words, percent)
+        third = note(_verified(docs, left, words, percent))
         if not third.isEmpty():
-            labels = graph.components(links.unionByName(third))
-        T.discard(third)
-    T.discard(left, second)
+            labels = note(graph.components(links.unionByName(third)))
     kept = T.stored(facts.join(reps, facts.a == reps.doc, "left").select("a", "b", F.coalesce("rep", "a").alias("rep")).join(labels, F.col("rep") == labels.node, "left").select(F.col("a").alias(id_col), F.col("b").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")), "classes")
-    T.discard(found, first, labels)
     return kept

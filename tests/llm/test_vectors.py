@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from foliograph.llm import centroids, latticededup
+from foliograph.llm import centroids, groups, latticededup
 
 CHECK = "/root/testdata/check_s/embeddings.parquet"
 ODD = "id bigint, packed binary, h string, k int, cluster int, label int, vec_id bigint, embedding array<float>, n bigint, node bigint, cells array<bigint>"
@@ -133,7 +133,7 @@ def near(seed, n, spread):
 
 @pytest.mark.parametrize("block", [4, 512])
 def test_near_copies(spark, monkeypatch, block):
-    monkeypatch.setattr(latticededup, "BLOCK", block)
+    monkeypatch.setattr(groups, "BLOCK", block)
     rows = near(5, 240, 0.1) + ODD_VECTORS
     rows += [(3000, rows[0][1], None), (3001, (2 * np.array(rows[0][1])).tolist(), rows[0][2]), (3, rows[3][1], rows[3][2]), (None, rows[7][1], rows[7][2]), (3002, [1.0, 2.0], 0), (3003, [1.0, 2.01], 0), (None, [3.0], 0), (None, [4.0], 0)]
     rows += [(4000 + i, rows[11][1], rows[11][2]) for i in range(30)]
