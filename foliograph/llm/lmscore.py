@@ -320,8 +320,9 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     spark = df.sparkSession
     n_parts = min(T.parts(spark), 1 << 16)
     named = target.select(F.col(target.columns[0]).alias("__target")).where("__target is not null").distinct()
-    # sorted and merged at every size: the ids of a corpus' target are too many to send to every task
-    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text")).join(named.hint("merge"), F.col("id") == F.col("__target"), "left").select("id", "text", F.col("__target").isNotNull().alias("target"))
+    # only texts that a sieve takes for target texts are shuffled; they are merged at every size, as the ids of a corpus' target are too many to send to every task
+    some, rest = T.sieves(df.select(df[id_col].alias("id"), df[text_col].alias("text")), "id", named)
+    docs = some.join(named.hint("merge"), F.col("id") == F.col("__target"), "left").select("id", "text", F.col("__target").isNotNull().alias("target")).unionByName(rest.select("id", "text", F.lit(False).alias("target")))
     chunks = T.stored(docs.mapInArrow(T.tidy(_chunks(chunk_bytes)), "chunk bigint, part int, blob binary"), "chunks")
     asked = chunks.select("chunk", "blob").mapInArrow(T.tidy(_ask(n_parts)), "part int, chunk bigint, blob binary").repartitionById(n_parts, F.col("part"))
     counts = T.stored(asked.mapInArrow(T.tidy(_add(n_parts)), "chunk bigint, part int, blob binary, n_all bigint, n_target bigint, n_words bigint"), "counts")

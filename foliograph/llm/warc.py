@@ -193,8 +193,12 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     dictionary = train_dictionary(pages, payload_col)
     refs = references(pages, id_col, payload_col, min_revisit)
     rows = pages.select(pages[id_col].alias("__page"), pages[url_col].cast("string").alias("__url"), pages[payload_col].alias("__payload"))
+    refs = T.stored(refs, "references")
+    # payloads are shuffled only where a page of their id has a reference; rows without an id hash alike
+    some, rest = T.sieves(rows.withColumn("__name", F.xxhash64("__page")), "__name", refs.select(F.xxhash64("__id").alias("name")))
     sha, n = _payload_key(F.col("__payload"))
-    rows = rows.join(refs, F.col("__page").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")) & (n == F.col("__n")), "left").select("__page", "__url", "__payload", "__first")
+    some = some.join(refs.hint("merge"), F.col("__page").eqNullSafe(F.col("__id")) & (sha == F.col("__sha")) & (n == F.col("__n")), "left").select("__page", "__url", "__payload", "__first")
+    rows = some.unionByName(rest.select("__page", "__url", "__payload", F.lit(None).cast(refs.schema["__first"].dataType).alias("__first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=True)
@@ -213,6 +217,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     archives = rows.mapInArrow(T.tidy(run), "archive binary").select(F.col("archive").cast("string").alias("value"))
     archives.write.option("lineSep", EMPTY_SKIP).option("encoding", "UTF-8").option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    T.discard(refs)
 
 
 SCHEMA = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary, record_id string"
