@@ -31,14 +31,16 @@ def sample(df: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_
     max_chars characters, at most.
     """
     half = max_rows // 2
+    own = df.select(df[id_col].alias("__there"), F.coalesce(df[text_col], F.lit("")).alias("__text")).where("__there is not null")
     named = labels.select(labels[id_col].alias("__id"), labels[label_col].cast("int").alias("__label")).where(F.col("__id").isNotNull() & F.col("__label").isin(0, 1) & (remainder(F.col("__id"), modulus) != held_out)).distinct()
+    named = named.join(own.select("__there"), F.col("__id") == F.col("__there"), "left_semi")  # ids alone meet: the bound is for labels that have a document
     order = [F.xxhash64("__id"), F.col("__id")]
     picked = None
     for value in (0, 1):
-        own = named.where(F.col("__label") == value).orderBy(*order).limit(half)
-        picked = own if picked is None else picked.unionByName(own)
+        some = named.where(F.col("__label") == value).orderBy(*order).limit(half)
+        picked = some if picked is None else picked.unionByName(some)
     picked = picked.groupBy("__id").agg(F.min("__label").alias("low"), F.max("__label").alias("high"))
-    rows = df.join(F.broadcast(picked), df[id_col] == F.col("__id")).select("__id", "low", "high", F.coalesce(df[text_col], F.lit("")).alias("__text"))
+    rows = own.join(F.broadcast(picked), F.col("__there") == F.col("__id")).select("__id", "low", "high", "__text")
     texts = T.stored(rows.groupBy("__id", "low", "high").agg(F.min("__text").alias("__text")), "labelled")
     sizes = texts.select("__id", F.length("__text").alias("n")).collect()
     sizes.sort(key=lambda r: (hash_of(r[0]), r[0]))

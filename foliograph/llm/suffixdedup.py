@@ -54,10 +54,15 @@ PASSAGE_BYTES, PASSAGE_WORDS = 240, 50
 GRAM = 16
 #: A prefix with more suffixes than this is decided by hashes of windows.
 HOT = 512
+#: Suffixes of the merged order that are decided at once.
+PIECE = 1 << 14
 #: A task sends a run when its suffixes reach this size.
 RUN_BYTES = 10 << 20
 LOCAL_BYTES = 8 << 20
 
+#: Bits of a place in a slice: what a text may have in bytes, at most; the rest orders grams.
+PLACE_BITS = 34
+
 COPY, FIRST = -1, -2  # places that say: equal to an earlier text; the first of equal texts
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,7 +78,7 @@ def anchors(t: T.Texts, pre: np.ndarray, size: int) -> tuple[np.ndarray, np.ndar
     m = starts + half - 1
     at = np.arange(m)
     key = T.range_hash(pre, at, at + gram)
-    bits = np.uint64(max(24, int(m).bit_length()))
+    bits = np.uint64(PLACE_BITS)  # the same for every slice, as equal windows must choose alike wherever they stand
     key = (key >> bits << bits) | at.astype(np.uint64)  # leftmost of equal ones
     padded = np.full(-(-m // half) * half, np.uint64(2**64 - 1))
     padded[:m] = key
@@ -419,46 +424,55 @@ class LoserTree:
             self.top = top
 
 
-def _decode(lcp: np.ndarray, length: np.ndarray, tails: bytes, base: int) -> Iterator[tuple[bytes, int, int]]:
-    s, at = b"", 0
-    for k, (h, n) in enumerate(zip(lcp.tolist(), length.tolist(), strict=True)):
-        s = s[:h] + tails[at : at + n - h]
+def _decode(x: list[np.ndarray]) -> Iterator[tuple[bytes, int, tuple[bytes, int, int, int]]]:
+    """The suffixes of a run, each with its common prefix with the one before, and the bytes before it, the least distance, row and place. What is decoded is one suffix."""
+    lcp, length, tails, ahead, heads, near, row, place = x[:8]
+    s, at, before, gone = b"", 0, b"", 0
+    for k in range(len(lcp)):
+        h, n = int(lcp[k]), int(length[k])
+        s = s[:h] + tails[at : at + n - h].tobytes()
         at += n - h
-        yield s, h, base + k
-
-
-def decide(runs: list[list[np.ndarray]], sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each size its number, and rows and places of the repeated windows among the suffixes of some runs."""
-    base, total = [], 0
-    for x in runs:
-        base.append(total)
-        total += len(x[0])
-    before, near, rows, place = [], [], [], []
-    for x in runs:
-        raw, at, last = x[4].tobytes(), 0, b""
-        for n in x[3].tolist():
-            if n != 65535:
-                last = raw[at : at + n]
-                at += n
-            before.append(last)
-        near.append(x[5])
-        rows.append(x[6])
-        place.append(x[7])
-    order, lcp = np.empty(total, np.int64), np.empty(total, np.int64)
-    tree = LoserTree([_decode(x[0], x[1], x[2].tobytes(), b) for x, b in zip(runs, base, strict=True)])
-    for k, (h, _, payload) in enumerate(tree):
-        order[k], lcp[k] = payload, h
-    near = np.concatenate(near).astype(np.int64)[order]
-    length = np.concatenate([x[1] for x in runs]).astype(np.int64)[order]
-    rows, place = np.concatenate(rows)[order], np.concatenate(place).astype(np.int64)[order]
-    before = [before[k] for k in order.tolist()]
-    far = np.array([len(x) for x in before], np.int64)
+        m = int(ahead[k])
+        if m != 65535:
+            before = heads[gone : gone + m].tobytes()
+            gone += m
+        yield s, h, (before, int(near[k]), int(row[k]), int(place[k]))
+
+
+def decide(runs: list[list[np.ndarray]], sizes: list[int], most: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size its number, and rows and places of the repeated windows among the suffixes of some runs, a piece of the merged order at a time.
+
+    A piece ends where neighbours share less than any window's rest, so no two
+    suffixes of different pieces can agree; it holds `most` suffixes and one such
+    group more at most, and groups are bounded by HOT and the number of tasks.
+    """
+    most = most or PIECE
+    lead = sizes[0] - sizes[0] // 2 + 1
+    lcp: list[int] = []
+    length: list[int] = []
+    facts: list[tuple[bytes, int, int, int]] = []
+    for h, s, fact in LoserTree([_decode(x) for x in runs]):
+        if h < lead and len(lcp) >= most:
+            yield from _decided(lcp, length, facts, sizes)
+            lcp, length, facts = [], [], []
+        lcp.append(h)
+        length.append(len(s))
+        facts.append(fact)
+    if lcp:
+        yield from _decided(lcp, length, facts, sizes)
+
+
+def _decided(prefix: list[int], sizes_left: list[int], facts: list[tuple[bytes, int, int, int]], sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    lcp, length = np.array(prefix, np.int64), np.array(sizes_left, np.int64)
+    lcp[0] = 0
+    near, rows, place = (np.array([f[k] for f in facts], kind) for k, kind in ((1, np.int64), (2, np.uint64), (3, np.int64)))
+    far = np.array([len(f[0]) for f in facts], np.int64)
     end = np.cumsum(far)
-    pre = T.byte_prefix(np.frombuffer(b"".join(before), np.uint8))
-    index = np.arange(total)
+    pre = T.byte_prefix(np.frombuffer(b"".join(f[0] for f in facts), np.uint8))
+    index = np.arange(len(lcp))
     for w, size in enumerate(sizes):
         out_row, out_place = [rows[:0]], [place[:0]]
-        for gap in range(sizes[0] // 2):
+        for gap in range(int(near.min()), min(sizes[0] // 2, int(far.max()) + 1)):
             own = np.flatnonzero((near <= gap) & (gap <= far) & (length >= size - gap))
             if len(own) < 2:
                 continue
@@ -491,7 +505,9 @@ def _merge(n_parts: int, sizes: list[int]):
         found = [(x[0], x[1].astype(np.int64), x[2].astype(np.int64), x[3]) for x in got[STARTS]]
         if got[RUN]:
             for w, row, place in decide(got[RUN], sizes):
-                found.append(_starts(row, place, w))
+                if len(row):
+                    found.append(_starts(row, place, w))
+            got[RUN].clear()
         if got[WINDOW]:
             key, row, place, many = (np.concatenate([x[k] for x in got[WINDOW]]) for k in range(4))
             order, first, times = _runs_of(key)
@@ -569,14 +585,13 @@ def _applied(df: DataFrame, columns: list[str], schema: str, make, id_col: str,
     found = repeated_spans(df, id_col, text_col, sizes)
     names = [f"spans{k}" for k in range(len(sizes))]
     text, row = _named(df, id_col, text_col)
-    kept = df.select(*[df[c] for c in columns], text.alias("__text"), row.alias("__row"))
-    every = found.select(F.col("row").alias("__key"), F.col("whole").alias("__whole"), *(F.col(n).alias(f"__{n}") for n in names))
-    some, rest = T.sieves(kept, "__row", found.select("row"))
-    wanted = [*columns, "__text", "__whole", *(f"__{n}" for n in names)]
-    joined = some.join(every.hint("merge"), F.col("__row") == F.col("__key"), "left").select(*wanted)
-    joined = joined.unionByName(rest.select(*columns, "__text", F.lit(None).cast("boolean").alias("__whole"), *(F.lit(None).cast("binary").alias(f"__{n}") for n in names)))
+    own = [f"c{k}" for k in range(len(columns))]  # whatever the columns are called
+    kept = df.select(*[df[f"`{c}`"].alias(o) for c, o in zip(columns, own, strict=True)], text.alias("text"), row.alias("name"))
+    some, rest = T.sieves(kept, "name", found.select("row"))
+    joined = some.join(found.hint("merge"), F.col("name") == F.col("row"), "left").select(*own, "text", "whole", *names)
+    joined = joined.unionByName(rest.select(*own, "text", F.lit(None).cast("boolean").alias("whole"), *(F.lit(None).cast("binary").alias(n) for n in names)))
     n = len(columns)
-    head = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in columns)
+    head = ", ".join(f"{o} {kept.schema[o].dataType.simpleString()}" for o in own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -592,9 +607,10 @@ def _applied(df: DataFrame, columns: list[str], schema: str, make, id_col: str,
                         cut[size] = np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 2) if blob.is_valid else np.zeros((0, 2), np.int64)
                 made.append(make(raw, cut))
             if made:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c) for c in zip(*made, strict=True))], names=[*columns, *(x.split()[0] for x in schema.split(", "))])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(c) for c in zip(*made, strict=True))], names=[*own, *(x.split()[0] for x in schema.split(", "))])
 
-    return joined.mapInArrow(T.tidy(run), f"{head}, {schema}")
+    made = joined.mapInArrow(T.tidy(run), f"{head}, {schema}")
+    return made.toDF(*columns, *made.columns[n:])
 
 
 def kept_bytes(raw: bytes, spans: np.ndarray) -> bytes:
@@ -641,5 +657,6 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cut = spans[size] if passage is None else joined_spans(spans[size], passages(raw, spans[passage], words)[1])
         return (kept_bytes(raw, cut).decode("utf-8", "ignore"),)
 
-    made = _applied(df, others, "__kept string", make, id_col, text_col, (size,) if passage is None else (size, passage))
-    return made.select(*[F.col("__kept").alias(text_col) if c == text_col else F.col(c) for c in df.columns])
+    kept = T.unused(df, "__kept")[0]
+    made = _applied(df, others, f"{kept} string", make, id_col, text_col, (size,) if passage is None else (size, passage))
+    return made.select(*[F.col(kept).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns])

@@ -199,10 +199,8 @@ def per_row(df: DataFrame, columns: list[str], schema: str, make: Callable[[Text
 
     `columns` is the text column, in a list. Nothing else is read from df.
     """
-    small_batches(df.sparkSession)
-    text = columns[0]
-    kept = df.select(*[df[c] for c in keep], df[text].alias("__text"))
-    names = [c for c in kept.columns if c != "__text"]
+    names = list(keep)
+    kept = df.select(*[df[c] for c in names], df[columns[0]].alias(unused(df, "__text")[0]))
     head = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +215,6 @@ def per_row(df: DataFrame, columns: list[str], schema: str, make: Callable[[Text
 
 def filter_rows(df: DataFrame, text_col: str, good: Callable[[Texts], np.ndarray]) -> DataFrame:
     """The rows of df, with all their columns, whose texts are good."""
-    small_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +222,19 @@ def filter_rows(df: DataFrame, text_col: str, good: Callable[[Texts], np.ndarray
             for i, j, t in slices(texts(batch.column(at))):
                 yield batch.slice(i, j - i).filter(pa.array(good(t)))
 
-    return df.mapInArrow(tidy(run), df.schema)
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))  # whatever the columns are called
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*df.columns)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def sieves(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -236,10 +245,12 @@ def sieves(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFra
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     bit = lambda c: (c % 64).cast("int")
+    at, word, place = unused(df, "__at", "__word", "__slot")
+    quoted = F.col(f"`{key}`")
     slots = keys.select(slot(F.col(keys.columns[0])).alias("__s")).where(F.col(keys.columns[0]).isNotNull())
-    words = slots.groupBy(F.shiftright("__s", 6).alias("__at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__s % 64 as int))")).alias("__word"))
-    placed = df.withColumn("__slot", F.when(F.col(key).isNotNull(), slot(F.col(key)))).join(F.broadcast(words), F.shiftright("__slot", 6) == F.col("__at"), "left")
-    found = F.coalesce(F.getbit("__word", bit(F.col("__slot"))) == 1, F.lit(False))
+    words = slots.groupBy(F.shiftright("__s", 6).alias(at)).agg(F.bit_or(F.expr("shiftleft(1L, cast(__s % 64 as int))")).alias(word))
+    placed = df.withColumn(place, F.when(quoted.isNotNull(), slot(quoted))).join(F.broadcast(words), F.shiftright(place, 6) == F.col(at), "left")
+    found = F.coalesce(F.getbit(word, bit(F.col(place))) == 1, F.lit(False))
     own = [F.col(f"`{c}`") for c in df.columns]
     return placed.where(found).select(*own), placed.where(~found).select(*own)
 
@@ -277,22 +288,17 @@ def _files(spark: SparkSession, path: str):
 
 @contextlib.contextmanager
 def storing(spark: SparkSession) -> Iterator[None]:
-    """For jobs whose results are stored: their shuffle files go as soon as each job ends."""
-    small_batches(spark)
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    """For jobs whose results are stored: their shuffle files go as soon as each job ends, and Arrow batches are small (10,000 texts, Spark's default, are too much to hold on both sides) unless the user has chosen a size. The session is afterwards as it was."""
+    cleanup, rows = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = {key: spark.conf.get(key) for key in (cleanup, rows)}
+    spark.conf.set(cleanup, "true")
+    if was[rows] == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     try:
         yield
     finally:
-        spark.conf.set(key, was)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch, unless the user has chosen a number: 10,000 texts are too much to hold on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":  # Spark's default
-        spark.conf.set(key, str(BATCH_ROWS))
+        for key, value in was.items():
+            spark.conf.set(key, value)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -307,6 +313,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that takes note of stored frames, which are deleted in the end, whatever happens."""
+    held: list[DataFrame] = []
+
+    def note(df: DataFrame) -> DataFrame:
+        held.append(df)
+        return df
+
+    try:
+        yield note
+    finally:
+        discard(*held)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what stored() wrote for these frames, through Spark's own file systems."""
     for df in frames:
