@@ -3,11 +3,16 @@
 Each stage takes (spark, docs, sf_dir), where docs is all that the stage before
 kept, and returns a DataFrame; all but the last return the columns of documents.
 Rows that a stage rejects are gone, and texts that it changes stay changed.
+
+The pipeline is an application and settles its session: Python workers get
+`textops.BATCH_ROWS` rows at once, unless the session already has another number
+than Spark's default.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +21,20 @@ from foliograph.llm import decontaminate, ngramjoin, sentencepieces, suffixdedup
 from foliograph.llm.queries import read_tokenizer, table
 
 
+def _settled(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, in a session whose Arrow batches are small: what it returns is run later, by whoever writes it."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if spark.conf.get(key) == "10000":
+            spark.conf.set(key, str(textops.BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_settled
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold.
 
@@ -24,6 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@_settled
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each similarity class: that with the smallest id.
 
@@ -31,18 +51,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     others = ngramjoin.similarity_classes(docs).where("doc_id != component_id").select("doc_id").distinct()
     some, rest = textops.sieves(docs, "doc_id", others)
-    return rest.unionByName(some.join(others.hint("merge"), "doc_id", "left_anti").select(*docs.columns))
+    return rest.unionByName(some.join(others.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
+@_settled
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the strings of 400 bytes and the passages of over 50 words that stand elsewhere too; n_chars follows the text.
 
     Null texts become empty; a text that repeats another one as a whole stays as a row with what is left of it, rows of equal id and text too; rows without an id take part; an empty table stays empty.
     """
     cut = suffixdedup.deduplicated(docs, passage=suffixdedup.PASSAGE_BYTES)
-    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@_settled
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs.
 
@@ -51,6 +73,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_settled
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of ids, and digests of ids and decoded text: a row for each row.
 
