@@ -8,18 +8,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..operators import matching as M
+from ..operators import outlines as O
 from ..operators import pages as K
-from ..operators import pixels as P
+from ..operators import profiles as Q
+from ..operators import rasters as R
 from ..operators import signals as S
 from ..sources import drawn as D
 from ..sources import fixtures as X
 from . import normalize as N
+from . import scans as C
 
 W, H = X.WIDTH, X.HEIGHT
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -264,11 +267,11 @@ def snap_frozen_gate(spark, sf):
     return M.snap_overlay(X.template_fields(spark, sf), X.detections(spark, sf, halved=True), W, H)[1]
 
 
-@query(both(X.SQL_FIELDS, X.SQL_GATE, _BOXES, _NEAR.format(open=_OPEN), _GATED, _SNAP, f"""got AS (SELECT s.page, s.pos, det.x0 AS dx0, det.y0 AS dy0, det.x1 AS dx1, det.y1 AS dy1 FROM snap s JOIN det ON det.page = s.page AND det.idx = s.idx),
+@query(both(X.SQL_FIELDS, X.SQL_DETECTIONS, _BOXES, _NEAR.format(open=_OPEN), _GATED, _SNAP, f"""got AS (SELECT s.page, s.pos, det.x0 AS dx0, det.y0 AS dy0, det.x1 AS dx1, det.y1 AS dy1 FROM snap s JOIN det ON det.page = s.page AND det.idx = s.idx),
 gr0 AS (SELECT page, pos, least(1.0, greatest(0.0, dx0 / {W}.0))::DOUBLE AS a, least(1.0, greatest(0.0, dy0 / {H}.0))::DOUBLE AS b, least(1.0, greatest(0.0, dx1 / {W}.0))::DOUBLE AS c, least(1.0, greatest(0.0, dy1 / {H}.0))::DOUBLE AS d FROM got)""", recursive=True) + """SELECT page, pos, field_id, field_type, round(coalesce(a, x0), 9) AS x0, round(coalesce(b, y0), 9) AS y0, round(coalesce(c, x1), 9)::DOUBLE AS x1, round(coalesce(d, y1), 9)::DOUBLE AS y1, a IS NOT NULL AS snapped FROM mv LEFT JOIN gr0 USING (page, pos)
 UNION ALL SELECT page, pos, field_id, field_type, round(x0, 9), round(y0, 9), round(x1, 9), round(y1, 9), false FROM fields, (SELECT page FROM cnt WHERE n_detected < 30)""")
 def snapped_fields(spark, sf):
-    got = M.snap_overlay(X.template_fields(spark, sf), X.detections(spark, sf, halved=True), W, H)[0]
+    got = M.snap_overlay(X.template_fields(spark, sf), X.detections(spark, sf), W, H)[0]
     return got.select("page", "pos", "field_id", "field_type", *[F.round(c, 9).alias(c) for c in ("x0", "y0", "x1", "y1")], "snapped")
 
 
@@ -427,10 +430,10 @@ def document_id(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", B.document_id(explicit, path).alias("document_id"))
 
 
-@query(both(X.SQL_FIELDS, X.SQL_GATE) + "SELECT page, field_type, n, n_detected FROM (SELECT page, count(*) AS n_detected FROM det GROUP BY page), (SELECT field_type, count(*) AS n FROM fields GROUP BY field_type)")
+@query(both(X.SQL_FIELDS, X.SQL_DETECTIONS) + "SELECT page, field_type, n, n_detected FROM (SELECT page, count(*) AS n_detected FROM det GROUP BY page), (SELECT field_type, count(*) AS n FROM fields GROUP BY field_type)")
 def document_summary(spark, sf):
     n = X.template_fields(spark, sf).groupBy("field_type").agg(F.count(F.lit(1)).alias("n"))
-    return M.page_counts(X.detections(spark, sf, halved=True)).join(F.broadcast(n)).select("page", "field_type", "n", "n_detected")
+    return M.page_counts(X.detections(spark, sf)).join(F.broadcast(n)).select("page", "field_type", "n", "n_detected")
 
 
 @query(both(X.SQL_FIELDS, X.SQL_DETECTIONS) + "SELECT 'template' AS kind, pos::BIGINT AS id, px0 AS x0, py0 AS y0, px1 AS x1, py1 AS y1 FROM fields UNION ALL SELECT 'detected', event_id, x0, y0, x1, y1 FROM det")
@@ -439,55 +442,77 @@ def bbox_union_all(spark, sf):
     return f.unionByName(X.detections(spark, sf).select(F.lit("detected").alias("kind"), F.col("event_id").alias("id"), "x0", "y0", "x1", "y1"))
 
 
-# -- page kernels on drawn forms: SQL says what was drawn, and each query whether that was found
+# -- whole pages. Scans are drawn pixel by pixel, so SQL says what has to be measured on them; of photographs SQL says what was drawn, and each query whether that was found
 
 
-#: Drawn pages in one task at most, on average: an image has about 4 MB.
+#: Drawn pages in one task at most, on average: an image has up to 4 MB.
 TASK_PAGES = 8
 #: Pixels by which a measured place may differ from the one drawn.
 NEAR = 6
 
 
+def _dealt(spark: SparkSession, sf: str) -> DataFrame:
+    rows = X.table(spark, sf, "pages").select("page_id", "html")
+    return rows.repartition(max(1, -(-rows.count() // TASK_PAGES)))
+
+
 def drawn(spark: SparkSession, sf: str) -> DataFrame:
-    """A drawn form for each row of pages, in as many tasks as they need."""
-    ids = X.table(spark, sf, "pages").select("page_id")
-    return D.drawn_pages(ids.repartition(max(1, -(-ids.count() // TASK_PAGES))), "page_id")
+    """A photographed form for each row of pages, in as many tasks as they need."""
+    return D.drawn_pages(_dealt(spark, sf), "page_id", "html")
 
 
-def _measured(pages: DataFrame, schema: str, measure: Callable) -> DataFrame:
-    """Rows that measure(image, number of the page) gives, for each page."""
-    names = ["document_id", *[c.split()[0] for c in schema.split(", ")]]
+def scanned(spark: SparkSession, sf: str) -> DataFrame:
+    """A scanned form for each row of pages, in as many tasks as they need."""
+    return D.scanned_pages(_dealt(spark, sf), "page_id", "html")
 
-    def run(frames):
-        for frame in frames:
-            for name, h, w, channels, data in zip(*(frame[c] for c in ("document_id", "height", "width", "channels", "data")), strict=True):
-                rows = measure(np.frombuffer(data, np.uint8).reshape(h, w, channels), int(name.removeprefix("page")))
-                yield pd.DataFrame([(name, *x) for x in rows], columns=names)
 
-    return pages.mapInPandas(run, f"document_id string, {schema}")
+def _scan_sql(*ctes: str) -> str:
+    """The tables of a scan, up to the fields' moved boxes, and more."""
+    resized = (c.replace(str(W), str(C.W)).replace(str(H), str(C.H)) for c in (_BOXES, _NEAR.format(open=_OPEN), _GATED, _SNAP))
+    return both(C.PAGES, C.HEADERS, C.SHIFTS, C.FITS, C.FIELDS, *resized, *ctes, recursive=True)
 
 
-DRAWN_DEGREES = "CASE WHEN page_id % 2 = 1 THEN 180 ELSE 0 END"
+_SURE = "0.6::DOUBLE * 0.35::DOUBLE + 0.4::DOUBLE * ht.score"
+_KEPT = f"CASE WHEN c.n_detected >= 30 THEN least(1.0, greatest(0.0, coalesce(k, 0)::DOUBLE / {C.N_BOXES})) END::DOUBLE"
 
 
-@query(f"SELECT 'page' || page_id AS document_id, 'page-quad' AS warp_method, {DRAWN_DEGREES} AS orientation_degrees, 124::BIGINT AS n_checkbox, 9::BIGINT AS n_handwriting, true AS sure FROM pages")
+@query(_scan_sql() + f"""SELECT pg.document_id, 'scan' AS template_id, 'full-frame' AS warp_method, ht.degrees AS orientation_degrees, round(ht.score, 6) AS orientation_score, round({_SURE}, 6) AS warp_confidence, ac.ax AS tx, ac.ay AS ty, round(ac.trust, 6) AS landmark_score, round(ac.fit, 6) AS grid_score,
+  ac.s[1] AS shift0, ac.s[2] AS shift1, ac.s[3] AS shift2, ac.s[4] AS shift3, round(ac.confidence, 6) AS align_confidence, c.n_detected::INT AS n_detected, coalesce(k, 0)::INT AS n_snapped, CASE WHEN c.n_detected >= 30 THEN n_offset_hits END::INT AS n_offset_hits,
+  CASE WHEN c.n_detected >= 30 THEN round_even(shift.dx, 2) ELSE 0.0 END::DOUBLE AS snap_dx, CASE WHEN c.n_detected >= 30 THEN round_even(shift.dy, 2) ELSE 0.0 END::DOUBLE AS snap_dy, CASE WHEN c.n_detected >= 30 THEN 'global-shift-then-snap' ELSE 'frozen' END AS snap_method, round({_KEPT}, 6) AS snap_confidence,
+  round(least(1.0, greatest(0.0, 0.4::DOUBLE * ({_SURE}) + 0.3::DOUBLE * ac.confidence + 0.3::DOUBLE * coalesce({_KEPT}, ac.fit))), 6)::DOUBLE AS alignment_confidence, {C.N_BOXES}::BIGINT AS n_checkbox, 9::BIGINT AS n_handwriting
+FROM pg JOIN ht USING (page) JOIN ac USING (page) JOIN cnt c USING (page) LEFT JOIN shift USING (page) LEFT JOIN (SELECT page, count(idx) AS k FROM snap GROUP BY page) USING (page)""")
 def normalize_synthetic(spark, sf):
-    found = N.summary(N.normalize(drawn(spark, sf), [D.template()]))
-    return found.select("document_id", "warp_method", "orientation_degrees", F.col("n_checkbox").cast("bigint").alias("n_checkbox"), F.col("n_handwriting").cast("bigint").alias("n_handwriting"), (F.col("alignment_confidence") > 0.2).alias("sure"))
+    """What is measured and decided on each scan."""
+    docs = N.normalize(scanned(spark, sf), [D.scan_template()])
+    six = lambda c: F.round(c, 6).alias(c)
+    n = lambda test, name: F.size(F.filter("fields", test)).cast("bigint").alias(name)
+    return docs.select(
+        "document_id", "template_id", "warp_method", "orientation_degrees", six("orientation_score"), six("warp_confidence"), (F.col("tx") + 0.0).alias("tx"), (F.col("ty") + 0.0).alias("ty"), six("landmark_score"), six("grid_score"),
+        *[F.col("column_shifts")[k].alias(f"shift{k}") for k in range(4)], six("align_confidence"), "n_detected", "n_snapped", "n_offset_hits", "snap_dx", "snap_dy", "snap_method", six("snap_confidence"), six("alignment_confidence"),
+        n(lambda f: f["field_type"] == "checkbox", "n_checkbox"), n(lambda f: f["field_type"] != "checkbox", "n_handwriting"),
+    )
+
+
+@query(_scan_sql(C.CROPS) + "SELECT pg.document_id, field_id, field_type, x0, y0, x1, y1, coalesce(dark.n, 0) AS n_dark FROM crop JOIN pg USING (page) LEFT JOIN dark USING (page, field_id)")
+def field_crops_synthetic(spark, sf):
+    """Each field's box on each scan as it was found, and the dark pixels in its crop."""
+    crops = N.field_crops(N.normalize(scanned(spark, sf), [D.scan_template()]))
+    return with_dark_pixels(crops.select("document_id", "field_id", "field_type", "x0", "y0", "x1", "y1", "raw"))
 
 
-@query("""
-SELECT 'page' || page_id AS document_id, field_id, field_type, x - 2 AS x0, y - 2 AS y0, x + wide + 2 AS x1, y + 16 AS y1, true AS near
-FROM pages, (
-  SELECT 'c' || k AS field_id, 'checkbox' AS field_type, 100 + 240 * (k // 31) AS x, 100 + 22 * (k % 31) AS y, 14 AS wide FROM range(124) t(k)
-  UNION ALL SELECT 'h' || k, 'handwriting_box', 60 + 300 * (k % 3), 790 + 18 * (k // 3), 250 FROM range(9) t(k))
-""")
-def field_crops_synthetic(spark, sf):
-    template = D.template()
-    boxes = spark.createDataFrame([(f["field_id"], *K.pixel_box(f["bbox"], D.W, D.H, f["pad"])) for f in template["fields"]], "field_id string, a bigint, b bigint, c bigint, d bigint")
-    found = N.field_crops(N.normalize(drawn(spark, sf), [template])).join(F.broadcast(boxes), "field_id")
-    near = F.greatest(*(F.abs(F.col(x) - F.col(y)) for x, y in zip(("x0", "y0", "x1", "y1"), "abcd", strict=True))) <= NEAR
-    return found.select("document_id", "field_id", "field_type", F.col("a").alias("x0"), F.col("b").alias("y0"), F.col("c").alias("x1"), F.col("d").alias("y1"), near.alias("near"))
+def with_dark_pixels(crops: DataFrame) -> DataFrame:
+    """Crops with the number of dark pixels in place of the pixels."""
+    kept = crops.schema.fields[:-1]
+
+    def run(batches):
+        for batch in batches:
+            counts = [int((np.frombuffer(v.as_buffer(), np.uint8)[::3] < 190).sum()) for v in batch.column(len(kept))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*(f.name for f in kept), "n_dark"])
+
+    return crops.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", n_dark bigint")
+
+
+DRAWN_DEGREES = "CASE WHEN page_id % 2 = 1 THEN 180 ELSE 0 END"
 
 
 @query("""
@@ -504,50 +529,135 @@ SELECT 'page' || page_id AS document_id, corner::INT AS corner, 'page-quad' AS m
 FROM placed
 """)
 def detect_quad_synthetic(spark, sf):
-    def measure(a, number):
-        quad, method, _ = K.detect_quad(a)
+    """The corners of each photographed sheet as drawn, and whether they were found there."""
+
+    def outline(r):
+        quad, method, _ = K.detect_quad(N.picture(r["data"], r["height"], r["width"], r["channels"]))
+        number = int(r["document_id"].removeprefix("page"))
         true = D.corners(D.W, D.H, D.tilt_of(number))
         if number % 2:
-            true = np.roll([a.shape[1] - 1, a.shape[0] - 1] - true, 2, axis=0)
-        return [(k, method, round(t[0]), round(t[1]), bool(np.abs(t - q).max() <= NEAR)) for k, (t, q) in enumerate(zip(true, quad, strict=True))]
+            true = np.roll([r["width"] - 1, r["height"] - 1] - true, 2, axis=0)
+        return {"method": method, "corners": [{"corner": k, "x": round(t[0]), "y": round(t[1]), "near": bool(np.abs(t - q).max() <= NEAR)} for k, (t, q) in enumerate(zip(true, quad, strict=True))]}
 
-    return _measured(drawn(spark, sf), "corner int, method string, x bigint, y bigint, near boolean", measure)
+    found = N.measured(drawn(spark, sf), "method string, corners array<struct<corner:int,x:bigint,y:bigint,near:boolean>>", outline, ["document_id", "height", "width", "channels", "data"], ["height", "width", "channels", "data"])
+    return found.select("document_id", "method", F.explode("corners").alias("c")).select("document_id", "c.corner", "method", "c.x", "c.y", "c.near")
 
 
 @query("SELECT 'page' || page_id AS document_id, 124::BIGINT AS n_fields, true AS enough FROM pages")
 def detect_checkboxes_synthetic(spark, sf):
-    """Whether at least 95 of 100 drawn check boxes have a detection near their centre on the rectified page."""
+    """Whether at least 95 of 100 drawn check boxes have a detection near their centre on the rectified photograph."""
+    t = D.template()
+    found = N.check_boxes(N.upright(N.rectified(drawn(spark, sf), [t]), [t]), [t])
+    centre = lambda b: M.centre([b[n] for n in ("x0", "y0", "x1", "y1")])
 
-    def measure(a, number):
-        found = np.array(K.detect_check_boxes(K.rectify(a, D.W, D.H)[0]), float).reshape(-1, 4)
-        there = K.box_table(D.template()) * [D.W, D.H, D.W, D.H]
-        centre = lambda b: (b[:, :2] + b[:, 2:]) / 2
-        hit = (np.abs(centre(there)[:, None] - centre(found)[None]).max(axis=2) <= NEAR).any(axis=1)
-        return [(len(there), bool(hit.mean() >= 0.95))]
+    def hit(f):
+        fx, fy = centre(f)
+        return F.exists("boxes", lambda b: (F.abs(centre(b)[0] - fx) <= NEAR) & (F.abs(centre(b)[1] - fy) <= NEAR))
 
-    return _measured(drawn(spark, sf), "n_fields bigint, enough boolean", measure)
+    n = F.size(F.filter("there", hit))
+    there = Q.in_pixels(Q.template_array(t["fields"]), D.W, D.H)
+    return found.withColumn("there", there).select("document_id", F.size("there").cast("bigint").alias("n_fields"), (n / F.size("there") >= 0.95).alias("enough"))
 
 
 @query(f"SELECT 'page' || page_id AS document_id, 1024 AS width, 860 AS height, 'page-quad' AS method, {DRAWN_DEGREES} AS degrees FROM pages")
 def warp_synthetic(spark, sf):
-    def measure(a, number):
-        canvas, how = K.rectify(a, D.W, D.H)
-        return [(canvas.shape[1], canvas.shape[0], how["method"], how["orientation_degrees"])]
+    """Size of each photograph's canvas, how its outline was found, and its direction."""
+    t = D.template()
+    found = N.upright(N.rectified(drawn(spark, sf), [t]), [t])
+    own = F.octet_length("canvas") == D.W * D.H * 3
+    return found.select("document_id", F.when(own, D.W).alias("width"), F.when(own, D.H).alias("height"), F.col("warp_method").alias("method"), F.col("turns")[0]["degrees"].alias("degrees"))
+
+
+# -- outlines: mappings, rectangles, fewer vertices
+
+
+_TARGET = {"c0x": 0, "c0y": 0, "c1x": W - 1, "c1y": 0, "c2x": W - 1, "c2y": H - 1, "c3x": 0, "c3y": H - 1, "middle_x": (W - 1) / 2, "middle_y": (H - 1) / 2}
+
+
+@query(both(X.SQL_QUADS) + f"""SELECT page, round(a / k, 6) AS m0, round(b / k, 6) AS m1, round(c / k, 6) AS m2, round(d / k, 6) AS m3, round(e / k, 6) AS m4, round(f / k, 6) AS m5, round(1000 * g / k, 6) AS m6, round(1000 * h / k, 6) AS m7, {", ".join(f"{v}::DOUBLE AS {n}" for n, v in _TARGET.items())}
+FROM (SELECT page, {W - 1} * (q11 * q22 - q12 * q21) AS a, {W - 1} * (q02 * q21 - q01 * q22) AS b, {W - 1} * (q01 * q12 - q02 * q11) AS c, {H - 1} * (q12 * q20 - q10 * q22) AS d, {H - 1} * (q00 * q22 - q02 * q20) AS e, {H - 1} * (q02 * q10 - q00 * q12) AS f, q10 * q21 - q11 * q20 AS g, q01 * q20 - q00 * q21 AS h, q00 * q11 - q01 * q10 AS k
+  FROM (SELECT page, x1 * z1 - x0 AS q00, x3 * z3 - x0 AS q01, x0 AS q02, y1 * z1 - y0 AS q10, y3 * z3 - y0 AS q11, y0 AS q12, z1 - 1 AS q20, z3 - 1 AS q21, 1.0::DOUBLE AS q22
+    FROM (SELECT *, ((x0 - x2) * (y3 - y2) - (y0 - y2) * (x3 - x2)) / ((x1 - x2) * (y3 - y2) - (y1 - y2) * (x3 - x2)) AS z1, ((x1 - x2) * (y0 - y2) - (y1 - y2) * (x0 - x2)) / ((x1 - x2) * (y3 - y2) - (y1 - y2) * (x3 - x2)) AS z3 FROM quad)))""")
+def homography(spark, sf):
+    """The mapping of each outline onto the canvas, and where it sends the corners and the point where the diagonals meet."""
+    corners = [(F.col(f"x{k}"), F.col(f"y{k}")) for k in range(4)]
+    (x0, y0), (x1, y1), (x2, y2), (x3, y3) = corners
+    t = ((x1 - x0) * (y3 - y1) - (y1 - y0) * (x3 - x1)) / ((x2 - x0) * (y3 - y1) - (y2 - y0) * (x3 - x1))
+    points = {**{f"c{k}": p for k, p in enumerate(corners)}, "middle_": (x0 + t * (x2 - x0), y0 + t * (y2 - y0))}
+    rows = X.quads(spark, sf).withColumn("m", O.homography(corners, W, H))
+    near = lambda c, n: (F.round(c, 6) + 0.0).alias(n)
+    return rows.select("page", *[near(F.col(f"m.m{k}") * (1000 if k > 5 else 1), f"m{k}") for k in range(8)], *[near(c, f"{n}{axis}") for n, p in points.items() for c, axis in zip(O.mapped(F.col("m"), *p), "xy", strict=True)])
+
 
-    return _measured(drawn(spark, sf), "width int, height int, method string, degrees int", measure)
+SQL_POINTS = "pts AS MATERIALIZED (SELECT DISTINCT user_id AS page, (event_id * 37 % 101)::DOUBLE AS x, ((event_id * 53 + user_id) % 89)::DOUBLE AS y FROM events)"
 
 
-@query()
+@query(both(SQL_POINTS, "dirs AS (SELECT DISTINCT a.page, (b.x - a.x) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS ux, (b.y - a.y) / sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS uy FROM pts a JOIN pts b ON a.page = b.page AND (a.x, a.y) < (b.x, b.y))") + """SELECT page, round(coalesce(min(area), 0.0), 6) AS area FROM (SELECT DISTINCT page FROM pts) LEFT JOIN (SELECT page, (max(x * ux + y * uy) - min(x * ux + y * uy)) * (max(y * ux - x * uy) - min(y * ux - x * uy)) AS area FROM dirs JOIN pts USING (page) GROUP BY page, ux, uy) USING (page) GROUP BY page""")
+def min_area_rectangle(spark, sf):
+    """The least area of a rectangle around each page's points: SQL tries the direction of every two of them."""
+    e, u = F.col("event_id"), F.col("user_id")
+    points = X.table(spark, sf, "events").groupBy(u.alias("page")).agg(F.collect_set(F.struct((e * 37 % 101).cast("double").alias("x"), ((e * 53 + u) % 89).cast("double").alias("y"))).alias("p"))
+    return points.select("page", F.round(O.smallest_rectangle(F.col("p"))["area"], 6).alias("area"))
+
+
+TOLERANCE = 1.5
+
+
+@query(both(X.SQL_PROFILES, "pts AS (SELECT vec_id, i, i::DOUBLE AS x, 20 * v AS y FROM prof)", f"""iv AS (SELECT DISTINCT vec_id, 0 AS a, 63 AS b FROM pts
+  UNION ALL
+  SELECT vec_id, unnest([a, far]) AS a, unnest([far, b]) AS b FROM (
+    SELECT vec_id, a, b, list(i ORDER BY d DESC, i)[1] AS far, max(d) AS d FROM (
+      SELECT iv.vec_id, iv.a, iv.b, m.i, abs((m.x - p.x) * (q.y - p.y) - (m.y - p.y) * (q.x - p.x)) / sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS d
+      FROM iv JOIN pts p ON p.vec_id = iv.vec_id AND p.i = iv.a JOIN pts q ON q.vec_id = iv.vec_id AND q.i = iv.b JOIN pts m ON m.vec_id = iv.vec_id AND m.i > iv.a AND m.i < iv.b) GROUP BY vec_id, a, b) WHERE d > {TOLERANCE})""", recursive=True) + "SELECT DISTINCT vec_id, a::INT AS i FROM iv UNION SELECT vec_id, b::INT FROM iv")
+def simplified_outline(spark, sf):
+    """The vertices that stay of each signal, drawn as a line."""
+    lines = X.profiles(spark, sf).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p"))
+    points = F.transform("p", lambda r: F.struct(r["i"].cast("double").alias("x"), (20 * r["v"]).alias("y")))
+    return lines.select("vec_id", points.alias("p")).select("vec_id", F.explode(O.simplified(F.col("p"), TOLERANCE)).alias("i"))
+
+
+# -- tiles as rasters
+
+
+_PLACES = "place AS (SELECT vec_id, b, (vec_id + 3 * b) % 5 - 1 AS x0, (2 * vec_id + b) % 4 AS y0, (vec_id + 3 * b) % 5 + 3 + (vec_id + b) % 3 AS x1, (2 * vec_id + b) % 4 + 4 + (vec_id // 3 + b) % 3 AS y1 FROM embeddings, range(4) t(b))"
+
+
+@query(both(X.SQL_TILES, _PLACES, """cut AS (SELECT vec_id, b, greatest(0, x0) AS x0, greatest(0, y0) AS y0, least(8, x1) AS x1, least(8, y1) AS y1 FROM place)""") + """SELECT vec_id, b::INT AS box, pixels::INT AS pixels, round(centre, 6) AS centre, round(sides, 6) AS sides, round(dark, 6) AS dark, pixels >= 16 AND ((centre > 180 AND dark >= 0.03 AND dark <= 0.70) OR (centre - sides >= 6.0 AND centre >= 140)) AS hit
+FROM (SELECT vec_id, b, count(*) AS pixels, avg(v) FILTER (abs(x - (x0 + (x1 - x0) // 2)) <= 1 AND abs(y - (y0 + (y1 - y0) // 2)) <= 1) AS centre, avg((v < 190)::INT::DOUBLE) AS dark,
+  sum(v * ((x = x0)::INT + (x = x1 - 1)::INT + (y = y0)::INT + (y = y1 - 1)::INT)) / sum((x = x0)::INT + (x = x1 - 1)::INT + (y = y0)::INT + (y = y1 - 1)::INT)::DOUBLE AS sides FROM cut JOIN tile USING (vec_id) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY vec_id, b)""")
+def summed_area_grid(spark, sf):
+    """Four places on each tile, measured by lookups in summed-area tables; SQL reads their pixels."""
+    v, b = F.col("vec_id"), F.col("box")
+    x0, y0 = (v + 3 * b) % 5 - 1, (2 * v + b) % 4
+    spots = X.table(spark, sf, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("box"))
+    boxes = spots.select("vec_id", "box", *[c.cast("int").alias(n) for c, n in ((x0, "x0"), (y0, "y0"), (x0 + 4 + (v + b) % 3, "x1"), (y0 + 4 + (F.floor(v / 3) + b) % 3, "y1"))])
+    found = R.check_box_places(X.tiles(spark, sf), boxes, "vec_id", "box", 8)
+    return found.select("vec_id", "box", "pixels", *[F.round(c, 6).alias(c) for c in ("centre", "sides", "dark")], "hit")
+
+
+@query(both(X.SQL_TILES, """h AS (SELECT vec_id, y // 4 AS py, x // 4 AS px, v, count(*) AS n FROM tile GROUP BY ALL),
+ex AS (SELECT vec_id, py, px, sum(greatest(n - 1, 0))::BIGINT AS excess FROM h GROUP BY ALL),
+full_ AS (SELECT vec_id, py, px, l.v, least(coalesce(n, 0), 1) + excess // 256 + CASE WHEN excess % 256 > 0 AND l.v % greatest(256 // (excess % 256), 1) = 0 AND l.v // greatest(256 // (excess % 256), 1) < excess % 256 THEN 1 ELSE 0 END AS n FROM ex JOIN (SELECT unnest(range(256))::INT AS v) l ON true LEFT JOIN h USING (vec_id, py, px, v)),
+lut AS MATERIALIZED (SELECT vec_id, py, px, v, least(255, greatest(0, round_even(sum(n) OVER (PARTITION BY vec_id, py, px ORDER BY v)::DOUBLE * (255.0::DOUBLE / 16), 0))) AS t FROM full_),
+tap AS (SELECT i, a, greatest(0, least(1, floor(i / 4.0 - 0.5)::INT + a)) AS p, CASE WHEN a = 1 THEN i / 4.0::DOUBLE - 0.5 - floor(i / 4.0::DOUBLE - 0.5) ELSE 1 - (i / 4.0::DOUBLE - 0.5 - floor(i / 4.0::DOUBLE - 0.5)) END AS w FROM (SELECT unnest(range(8))::INT AS i), (VALUES (0), (1)) t(a))""") + """SELECT tile.vec_id, tile.y, tile.x, least(255, greatest(0, round_even(sum(t * ty.w * tx.w), 0)))::INT AS v FROM tile JOIN tap ty ON ty.i = tile.y JOIN tap tx ON tx.i = tile.x JOIN lut ON lut.vec_id = tile.vec_id AND lut.py = ty.p AND lut.px = tx.p AND lut.v = tile.v GROUP BY tile.vec_id, tile.y, tile.x""")
 def clahe_tile(spark, sf):
-    pages = X.table(spark, sf, "embeddings").select("vec_id", "embedding")
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for v, e in zip(frame.vec_id, frame.embedding, strict=True):
-                tile = np.clip(np.rint(128 + 200 * np.asarray(e, np.float64)), 0, 255).astype(np.uint8).reshape(8, 8)
-                flat = np.repeat(np.repeat(tile, 8, 0), 8, 1)
-                out.append((v, int(P.clahe(flat).sum())))
-            yield pd.DataFrame(out, columns=["vec_id", "total"])
-
-    return pages.mapInPandas(run, "vec_id bigint, total bigint")
+    """Every pixel of each tile, equalised in four parts; SQL makes whole tables of 256 levels."""
+    return R.equalised(X.tiles(spark, sf), "vec_id", 8, 2)
+
+
+@query(both(X.SQL_TILES, """place AS (SELECT t, floor((t + 0.5) / 2 - 0.5)::INT AS p, (t + 0.5::DOUBLE) / 2 - 0.5 - floor((t + 0.5::DOUBLE) / 2 - 0.5) AS f FROM (SELECT unnest(range(16))::INT AS t)),
+tap AS (SELECT t, least(7, greatest(0, p + k - 1)) AS i, CASE WHEN abs(f - k + 1) <= 1 THEN ((-0.75 + 2) * abs(f - k + 1) - (-0.75 + 3)) * abs(f - k + 1) * abs(f - k + 1) + 1 ELSE ((-0.75 * abs(f - k + 1) + 5 * 0.75) * abs(f - k + 1) - 8 * 0.75) * abs(f - k + 1) + 4 * 0.75 END::DOUBLE AS w FROM place, (VALUES (0), (1), (2), (3)) t(k))""") + """SELECT vec_id, ty.t AS y, tx.t AS x, least(255.0, greatest(0.0, round_even(round(sum(v * ty.w * tx.w), 9), 0)))::INT AS v FROM tile JOIN tap ty ON ty.i = tile.y JOIN tap tx ON tx.i = tile.x GROUP BY vec_id, ty.t, tx.t""")
+def double_tile(spark, sf):
+    """Each tile at twice its size, by cubic convolution."""
+    return R.doubled(X.tiles(spark, sf), "vec_id", 8)
+
+
+LOW, HIGH = 128, 160
+
+
+@query(both(X.SQL_TILES, f"weak AS MATERIALIZED (SELECT vec_id, y, x, v, y * 8 + x AS p FROM tile WHERE v > {LOW})", """reach AS (SELECT vec_id, p, p AS root FROM weak
+  UNION
+  SELECT b.vec_id, b.p, r.root FROM reach r JOIN weak a ON a.vec_id = r.vec_id AND a.p = r.p JOIN weak b ON b.vec_id = a.vec_id AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1)""", recursive=True) + f"""SELECT vec_id, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1, count(*) AS n FROM weak JOIN (SELECT vec_id, p, min(root) AS root FROM reach GROUP BY vec_id, p) USING (vec_id, p) GROUP BY vec_id, root HAVING max(v) > {HIGH}""")
+def component_boxes(spark, sf):
+    """Groups of touching pixels above one level of each tile that hold one above another."""
+    return R.components(X.tiles(spark, sf), "vec_id", LOW, HIGH)
