@@ -1,4 +1,9 @@
-"""Pages as a stream of files: an extension, no part of the batch contract."""
+"""Pages as a stream of files: an extension, no part of the batch contract.
+
+Defined results: a file is taken once, by its path; files that cannot be decoded are
+listed apart; a batch without files writes nothing; a batch that is repeated writes
+the same files again.
+"""
 
 from __future__ import annotations
 
