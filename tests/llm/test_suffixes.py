@@ -110,3 +110,20 @@ def test_loser_tree():
     got = list(suffixdedup.LoserTree([iter(r) for r in runs]))
     assert [s for _, s, _ in got] == sorted(every)
     assert all(h == suffixdedup.common(a[1], s) for a, (h, s, _) in zip(got, got[1:]))
+
+
+def test_a_text_over_16_mib(spark):
+    """A passage of a very long text is found in a short one: places beyond 24 bits choose anchors like others."""
+    import numpy as np
+
+    letters = np.random.default_rng(6).integers(97, 123, 17 << 20).astype(np.uint8)
+    long = letters.tobytes().decode()
+    a, n = 16_900_000, 3000
+    other = lambda c: "0" if c != "0" else "1"
+    short = other(long[a - 1]) * 700 + long[a : a + n] + other(long[a + n]) + "tail " + long[5 : 5 + 399]
+    rows = [(1, long), (2, short)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = {r.doc_id: r for r in suffixdedup.digests(df).collect()}
+    assert (got[1].n_bytes, got[1].n_removed, got[1].n_spans) == (17 << 20, n, 1)
+    assert (got[2].n_removed, got[2].n_spans) == (700 + n, 1)  # the run of one letter repeats itself
+    assert got[1].kept_sha256 == hashlib.sha256((long[:a] + long[a + n :]).encode()).hexdigest()
