@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import centroids, decontaminate, latticededup, licenses, linequality, lmscore, ngramjoin, rankedsearch, repetition, sentencepieces, suffixdedup, toxicity, warc
 from .oracles import ORACLES
@@ -45,7 +46,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lmscore.score(table(spark, sf_dir, "documents"), good)
+    found = lmscore.score(table(spark, sf_dir, "documents"), good)
+    return found.select("doc_id", "n_tokens", (F.round("score", 6) + 0.0).alias("score"))  # sums of logarithms depend on their order
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
