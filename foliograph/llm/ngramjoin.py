@@ -50,13 +50,15 @@ from .blobs import SCHEMA, batch_of, by_part, from48, low48, pack, unpack
 WORDS = 5
 PERCENT = 75
 #: Bytes of text whose parts are compared with each other before the shuffle.
-LOCAL_BYTES = 4 << 20
+LOCAL_BYTES = 2 << 20
 #: One in so many segments is also indexed with deletions.
 DELETION_SHARE = 16
 #: Segments beyond those that the largest partner needs, one in so many: room to leave common parts out.
 SPARE_SHARE = 6
-#: Bits that bound from below in how many elements two sets differ, and those that are left of them where many rows carry them.
-BITMAP, FOLDED = 1024, 512
+#: Bits that bound from below in how many elements two sets differ, and those that are left of them where all pairs of a block are looked at.
+BITMAP, FOLDED = 2048, 512
+#: Pairs that a task holds to put each out once.
+HELD = 1 << 20
 #: Partners that one copy of a text is compared with.
 CHUNK = 64
 
@@ -409,12 +411,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     return found
 
 
-def _fold(bits: Column, size: int) -> Column:
-    """Bitmaps with as many bits as asked: classes that fall together are added modulo 2."""
-    n = size // 64
-    return F.array(*(reduce(Column.bitwiseXOR, [bits[k] for k in range(j, BITMAP // 64, n)]) for j in range(n)))
-
-
 def _may_link(p: str, q: str, size: int, percent: int) -> Column:
     """Whether the sizes and bitmaps of two documents leave room for a link."""
     bit = lambda x, k: F.col(f"{x}.bits")[k]
@@ -439,44 +435,56 @@ def _across(members: DataFrame, spare: DataFrame, shapes: DataFrame, labels: Dat
     probes = rows.where(role.bitwiseAND(PROBES | MAYBE) > 0).withColumn("offset", F.shiftright(role, 5))
     rank = F.row_number().over(Window.partitionBy("doc", "offset").orderBy(role.bitwiseAND(FIXED) > 0, F.col("times").desc(), "key"))
     kept = probes.withColumn("rank", rank).join(spare, ["doc", "offset"], "left").where((F.col("rank") > F.coalesce("spare", F.lit(0))) | (role.bitwiseAND(FIXED) > 0)).select("key", "doc", "component")
-    short = shapes.select("rep", "least", "most", F.when(F.col("bits").isNotNull(), _fold(F.col("bits"), FOLDED)).alias("bits"))
     asked = rows.where(role.bitwiseAND(INDEXED) > 0).select("key", "doc", "component", F.lit(False).alias("probes"))
     entries = kept.select("key", "doc", "component", F.lit(True).alias("probes")).unionByName(asked)
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if("probes").alias("asking")).where("asking > 0 and size > asking")
-    members = groups.dealt(entries, sizes, "doc", groups.BLOCK).join(short, F.col("doc") == short.rep).drop("rep")
+    members = groups.dealt(entries, sizes, "doc", groups.BLOCK).join(shapes.select("rep", "least", "most", "bits"), F.col("doc") == F.col("rep")).drop("rep")
     found = groups.gathered(members, T.parts(members.sparkSession)).mapInArrow(T.tidy(_meet(percent)), "a bigint, b bigint").distinct()
     return T.stored(found, "across")
 
 
 def _meet(percent: int):
-    """Pairs of one key, in different components, for which sizes and bitmaps leave room: those of a key that is common to many are compared in blocks, bitmap by bitmap."""
+    """Pairs of one key, in different components, for which sizes and bitmaps leave room: those of a key that is common to many are compared in blocks, bitmap by bitmap.
+
+    Similar texts share many keys. So a task puts a pair out once, of the last HELD
+    pairs, and the whole bitmaps decide here: folded ones, which pass long texts, only
+    choose the pairs for which that is done.
+    """
 
-    def room(g: groups.Members, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def room(g: groups.Members, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         least, most = g.sizes
         fits = (most[j] * 100 >= least[i] * percent) & (most[i] * 100 >= least[j] * percent)
         differ = np.zeros(np.broadcast(i, j).shape, np.int64)
-        for word in g.words:
+        for word in words:
             differ += np.bitwise_count(word[i] ^ word[j])
         return fits & (differ * (100 + percent) <= (most[i] + most[j]) * (100 - percent)) | ~(g.known[i] & g.known[j]) & fits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((2, 0), np.int64)
         for batch in groups.whole(batches):
             g = groups.Members(batch)
             doc, component, probes = g.take("doc"), g.take("component"), g.take("probes")
             g.sizes = g.take("least"), g.take("most")
             bits = g.column("bits")
             g.known = np.array(bits.is_valid())
-            words = np.zeros((len(doc), FOLDED // 64), np.uint64)
-            words[g.known] = bits.drop_null().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, FOLDED // 64)
-            g.words = np.ascontiguousarray(words.T)
-            found = [np.empty((2, 0), np.int64)]
-            for i, j in g.pairs(lambda x, y, g=g: room(g, x[:, None], y[None, :])):
+            words = np.zeros((len(doc), BITMAP // 64), np.uint64)
+            words[g.known] = bits.drop_null().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, BITMAP // 64)
+            whole = np.ascontiguousarray(words.T)
+            folded = np.bitwise_xor.reduce(whole.reshape(-1, FOLDED // 64, len(doc)), axis=0)  # classes that fall together are added modulo 2
+            found = [held]
+            for i, j in g.pairs(lambda x, y, g=g, folded=folded: room(g, folded, x[:, None], y[None, :])):
                 good = (component[i] != component[j]) & (probes[i] != probes[j]) & g.meet(i, j)
                 i, j = i[good], j[good]
-                good = room(g, i, j)
+                good = room(g, whole, i, j)
                 found.append(np.stack([np.minimum(doc[i[good]], doc[j[good]]), np.maximum(doc[i[good]], doc[j[good]])]))
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            held = np.unique(np.concatenate(found, axis=1), axis=1) if len(found) > 1 else held
+            if held.shape[1] >= HELD:
+                yield put_out(held)
+                held = held[:, :0]
+        yield put_out(held)
+
+    def put_out(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return run
 
