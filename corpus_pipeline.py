@@ -5,8 +5,9 @@ kept, and returns a DataFrame; all but the last return the columns of documents.
 Rows that a stage rejects are gone, and texts that it changes stay changed.
 
 The pipeline is an application and settles its session: Python workers get
-`textops.BATCH_ROWS` rows at once, unless the session already has another number
-than Spark's default.
+`textops.BATCH_ROWS` rows at once and Parquet's reader decodes
+`textops.READ_ROWS`, unless the session already has other numbers than Spark's
+defaults.
 """
 
 from __future__ import annotations
@@ -22,13 +23,11 @@ from foliograph.llm.queries import read_tokenizer, table
 
 
 def _settled(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, in a session whose Arrow batches are small: what it returns is run later, by whoever writes it."""
+    """The stage, in a session whose batches are small: what it returns is run later, by whoever writes it."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if spark.conf.get(key) == "10000":
-            spark.conf.set(key, str(textops.BATCH_ROWS))
+        textops.settle(spark)
         return stage(spark, docs, sf_dir)
 
     return run

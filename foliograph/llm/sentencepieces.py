@@ -17,6 +17,7 @@ caches: `CACHE_BYTES` of short stretches (longer ones are not kept), `CACHE_PAIR
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 
@@ -342,7 +343,7 @@ _models: dict[bytes, Model] = {}
 
 
 def model_of(raw: bytes) -> Model:
-    """The model, built once in each Python process."""
+    """The model, built once in each task."""
     key = hashlib.sha1(raw).digest()
     if key not in _models:
         _models.clear()
@@ -350,6 +351,12 @@ def model_of(raw: bytes) -> Model:
     return _models[key]
 
 
+def forget() -> None:
+    """Models and their caches go with the task: an idle worker would hold them beside the next stages."""
+    _models.clear()
+    gc.collect()
+
+
 def read_model(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -367,7 +374,7 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
             out["decoded"] = pa.array([x.decode() for x in m.decode_slice(ids, offs)], pa.string())
         return out
 
-    return T.per_row(df, [text_col], schema, make, [id_col], SLICE)
+    return T.per_row(df, [text_col], schema, make, [id_col], SLICE, forget)
 
 
 def decode(df: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -384,7 +391,7 @@ def decode(df: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "
             flat = np.array([y for x in ids for y in x], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.decode() for x in m.decode_slice(flat, offs)], pa.string())], names=[id_col, "decoded"])
 
-    return kept.mapInArrow(T.tidy(run), f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, decoded string")
+    return kept.mapInArrow(T.tidy(run, forget), f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, decoded string")
 
 
 def digests(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,4 +408,4 @@ def digests(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
             "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in m.decode_slice(ids, offs)], pa.string()),
         }
 
-    return T.per_row(df, [text_col], "n_tokens bigint, ids_sha256 string, decoded_sha256 string", make, [id_col], SLICE)
+    return T.per_row(df, [text_col], "n_tokens bigint, ids_sha256 string, decoded_sha256 string", make, [id_col], SLICE, forget)

@@ -59,6 +59,8 @@ PIECE = 1 << 14
 #: A task sends a run when its suffixes reach this size.
 RUN_BYTES = 10 << 20
 LOCAL_BYTES = 8 << 20
+#: Bytes of text whose anchors are sought at once: some fifteen arrays of 8 bytes for each of them.
+STEP_BYTES = 1 << 18
 
 #: Bits of a place in a slice: what a text may have in bytes, at most; the rest orders grams.
 PLACE_BITS = 34
@@ -133,7 +135,7 @@ def _fingerprints(n_parts: int, size: int):
             for i, j, block in T.slices(T.texts(batch.column(1)), LOCAL_BYTES):
                 row, length = rows[i:j], np.diff(block.offs)
                 keys, owner, place, whole = [], [], [], []
-                for a, b, t in T.slices(block):
+                for a, b, t in T.slices(block, STEP_BYTES):
                     pre = T.byte_prefix(t.data)
                     whole.append(T.range_hash(pre, t.offs[:-1], t.offs[1:]))
                     doc, p, _, _ = anchors(t, pre, size)
@@ -325,7 +327,7 @@ def _send(n_parts: int, sizes: list[int]):
             rows = np.array(batch.column(0)).view(np.uint64)
             places = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(2)]
             hots = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(3)]
-            for i, j, t in T.slices(T.texts(batch.column(1))):
+            for i, j, t in T.slices(T.texts(batch.column(1)), STEP_BYTES):
                 pre = T.byte_prefix(t.data)
                 doc, p, far, near = anchors(t, pre, least)
                 kept, hot = [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
