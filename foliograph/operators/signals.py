@@ -10,9 +10,13 @@ empty profile or tile gives no rows; other columns are dropped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .profiles import let
+
 
 def smoothed(profile: DataFrame, key: str, k: int, digits: int = 9) -> DataFrame:
     """Moving average of k samples, zeros beyond the ends; an even window has one more before than after."""
@@ -112,11 +116,30 @@ def otsu(tile: DataFrame, key: str) -> DataFrame:
     return scored.groupBy(key).agg(F.max_by("v", F.struct("b", (-F.col("v")).alias("o"))).alias("level"))
 
 
-def morph_close(tile: DataFrame, key: str, size: int, reach: int = 1) -> DataFrame:
-    """Largest of the neighbours, then smallest of those, in a square; beyond the border there is nothing."""
-    square = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
-    wide = reflected(tile, key, size, square, "edge").groupBy(key, "y", "x").agg(F.max("v").alias("v"))
-    return reflected(wide, key, size, square, "edge").groupBy(key, "y", "x").agg(F.min("v").alias("v"))
+def around(values: Column, size: int, reach: int, of: Callable[..., Column]) -> Column:
+    """of(the neighbours in a square) for each value of a tile in reading order; borders repeat the edge, and places that a short tile lacks are null."""
+    steps = range(-reach, reach + 1)
+
+    def inside(c: Column) -> Column:
+        return F.least(F.greatest(c, F.lit(0)), F.lit(size - 1))
+
+    def near(_: Column, i: Column) -> Column:
+        ys, xs = [inside(F.floor(i / size) + a) for a in steps], [inside(i % size + b) for b in steps]
+        return of(*[F.get(values, (y * size + x).cast("int")) for y in ys for x in xs])
+
+    return F.transform(values, near)
+
+
+def morph_close(tiles: DataFrame, key: str, size: int, reach: int = 1) -> DataFrame:
+    """(key, y, x, v) of tiles (key, v: values in reading order): largest of the neighbours, then smallest of those, in a square; beyond the border there is nothing.
+
+    A tile is one row until the end, so its pixels are shuffled once, as one array. Of repeated keys each place has its largest value; without a key or values there are no rows.
+    """
+    rows = tiles.where(F.col(key).isNotNull() & F.col("v").isNotNull()).groupBy(key).agg(F.collect_list("v").alias("v"))
+    longest = F.aggregate("v", F.array().cast(tiles.schema["v"].dataType), lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+    closed = let(longest, lambda v: let(around(v, size, reach, F.greatest), lambda w: around(w, size, reach, F.least)))
+    rows = rows.select(key, closed.alias("v"))
+    return rows.select(key, F.posexplode("v").alias("i", "v")).select(key, F.floor(F.col("i") / size).cast("int").alias("y"), (F.col("i") % size).cast("int").alias("x"), "v")
 
 
 def box_divide(tile: DataFrame, key: str, size: int, reach: int = 1) -> DataFrame:

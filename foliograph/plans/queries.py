@@ -343,7 +343,7 @@ _EDGE = f"(VALUES {_NINE}) k(dy, dx), {{t}} n WHERE n.vec_id = t.vec_id AND n.y
 
 @query(both(X.SQL_TILES, f"wide AS (SELECT t.vec_id, t.y, t.x, max(n.v) AS v FROM tile t, {_EDGE.format(t='tile')})") + f"SELECT t.vec_id, t.y, t.x, min(n.v) AS v FROM wide t, {_EDGE.format(t='wide')}")
 def morph_close(spark, sf):
-    return S.morph_close(X.tiles(spark, sf), "vec_id", 8)
+    return S.morph_close(X.tile_rows(spark, sf), "vec_id", 8)
 
 
 @query(both(X.SQL_TILES, _sten("mean9", {(a, b): 1.0 for a in (-1, 0, 1) for b in (-1, 0, 1)})) + "SELECT vec_id, y, x, least(255.0, round_even(v * 255.0::DOUBLE / greatest(1.0, round_even(s / 9, 0)), 0))::INT AS v FROM tile JOIN mean9 USING (vec_id, y, x)")

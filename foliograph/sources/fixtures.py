@@ -57,10 +57,18 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e")).select("vec_id", "i", F.round(F.col("e").cast("double"), 6).alias("v"))
 
 
+def gray(e: Column) -> Column:
+    return F.least(F.lit(255), F.greatest(F.lit(0), F.rint(128 + 200 * e.cast("double")).cast("int")))
+
+
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, y, x, v): each embedding as a gray tile of 8 by 8."""
-    v = F.least(F.lit(255), F.greatest(F.lit(0), F.rint(128 + 200 * F.col("e").cast("double")).cast("int")))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e")).select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), v.alias("v"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e")).select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), gray(F.col("e")).alias("v"))
+
+
+def tile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, v): the same tiles, each one row with its values in reading order."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", gray).alias("v"))
 
 
 def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
